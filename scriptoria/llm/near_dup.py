@@ -3,11 +3,13 @@
 Each sketch keeps the ELEMS smallest occurrence-labelled shingles under one hash, in text order, so that it
 is sensitive to edits and moves. ROWS sketches make a band; documents that share a band are candidates.
 Similarity: the longest common subsequence L of two documents' shingle sequences of n and m by a banded
-bit-parallel alignment, L / (n + m - L) >= 0.8.
+bit-parallel alignment, L / (n + m - L) >= 0.8; or the same of the sequences of first occurrences, so that repeated
+lines weigh once. For texts in one order this is the Jaccard similarity of their shingles.
 
-No group is expanded into pairs: in each bucket all members are compared with one leader. Only members that
-still lie in other components are then compared with one another; buckets with many of those go to a finer
-level (more shingles in a band, more bands), whose guarantee is as high. Documents of equal words are one node.
+No group is expanded into pairs: in each bucket all members are compared with one leader. Members of buckets that
+still lie in several components (a common passage brings texts together that aren't alike) go to a finer level with
+more shingles in a band and more bands, whose guarantee is as high; only what its buckets leave apart, which is
+little, is compared across components. Documents of equal words are one node.
 
 Edge cases: null text is empty; documents without words are equal only if their bytes are; documents of fewer
 than five words have one shingle of all words; rows that share a doc_id are judged each by its text."""
@@ -26,10 +28,8 @@ from scriptoria.llm.components import components
 from scriptoria.llm.words import U, Words, grams, join_hash, mix
 
 K, ELEMS, SIMILAR = 5, 2, 0.8
-#: (rows of a band, bands). At similarity 0.8 a band agrees with about 0.8 ** (ELEMS * rows): a miss of 3e-5 and 8e-6.
-LEVELS = ((2, 20), (4, 64))
-#: Residual members up to which a bucket's cross pairs are compared at once; larger ones go to the next level.
-SMALL = 64
+#: (rows of a band, bands). At similarity 0.8 a band agrees with about 0.8 ** (ELEMS * rows): a miss of 6e-5 and 1e-4.
+LEVELS = ((3, 32), (5, 80))
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -137,12 +137,21 @@ def common_length(a: list, b: list, half: int) -> int:
     return left + (hi - lo) - v.bit_count()
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles in both, by number: no alignment has more."""
+    (x, nx), (y, ny) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(nx[i], ny[j]).sum())
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether L / (n + m - L) >= 0.8, that is 9 L >= 4 (n + m)."""
     n, m = len(a), len(b)
     need = -(-4 * (n + m) // 9)
     if not n or not m or min(n, m) < need:
         return False
+    if _shared(a, b) < need:
+        return False
     short = min(n, m)
     differ = np.flatnonzero(a[:short] != b[:short])
     head = int(differ[0]) if len(differ) else short
@@ -167,13 +176,21 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
         half = min(most, half * 4)
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sequences, or their first occurrences, are alike."""
+    if alike(a, b):
+        return True
+    first_a, first_b = (np.sort(np.unique(x, return_index=True)[1]) for x in (a, b))
+    return (len(first_a) < len(a) or len(first_b) < len(b)) and alike(a[first_a], b[first_b])
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (a, b) of two nodes whose texts are alike."""
 
     def work(batch):
         one, two = Words(batch.column("text_a")), Words(batch.column("text_b"))
         (x, fx), (y, fy) = shingles(one), shingles(two)
-        good = [alike(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]) for i in range(batch.num_rows)]
+        good = [similar(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]) for i in range(batch.num_rows)]
         keep = np.flatnonzero(good)
         return {"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep))}
 
@@ -194,40 +211,55 @@ def classified(docs: DataFrame) -> DataFrame:
     links, texts, merged = None, None, None
     for level, (rows, bands) in enumerate(LEVELS):
         if level:
-            fresh = sketch_table(texts.join(again, "node", "left_semi").select(F.lit(0).cast("long").alias("doc_id"), "text"), rows, bands, seed=7 + level)
-            nodes = common.stored(fresh, "omh-finer").select("node", "bands")
+            own = texts.join(apart, "node", "left_semi").select(F.lit(0).cast("long").alias("doc_id"), "text")
+            nodes = common.stored(sketch_table(own, rows, bands, seed=7 + level), "omh-finer").select("node", "bands")
         members = nodes.select("node", F.explode("bands").alias("bucket"))
-        leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
+        leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
         held = common.stored(members.join(leaders, "bucket"), "buckets")
-        star = held.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         if texts is None:
-            wanted = held.select("node").distinct().join(sketched.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("own")), "node").select("node", "own.*")
-            texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
-            if not sketched.groupBy("doc_id").count().where("count > 1").isEmpty():
-                texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
-            texts = common.stored(texts, "texts")
-        found = common.stored(verified(star, texts), "links")
-        links = found if links is None else links.unionByName(found)
+            texts = _texts(docs, sketched, held)
+        star = held.where("node <> leader")
+        if merged is not None:  # those that are together already needn't be compared
+            star = _apart(star, merged, "node", "leader")
+        links = _joined(links, verified(star.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), texts))
         merged = components(links)
-        # members of a bucket that lie in several components
         named = held.select("bucket", "node").join(merged, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+        spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         mixed = common.stored(named.join(spans, "bucket"), "mixed")
-        last = level == len(LEVELS) - 1
-        few = mixed if last else mixed.where(F.col("n") <= SMALL)
-        cross = few.alias("x").join(few.alias("y"), "bucket").where("x.node < y.node and x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        found = common.stored(verified(cross, texts), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            merged = components(links)
-        again = mixed.where(F.col("n") > SMALL).select("node").distinct()
-        if last or again.isEmpty():
+        apart = mixed.select("node").distinct()
+        if mixed.isEmpty():
             break
+    else:
+        cross = mixed.alias("x").join(mixed.alias("y"), "bucket").where("x.node < y.node and x.component <> y.component")
+        links = _joined(links, verified(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), texts))
+        merged = components(links)
     classes = sketched.select("doc_id", "text_hash", "node").join(merged, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
     smallest = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
     return classes.join(smallest, "component").select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("class_hash"), "copies")
 
 
+def _texts(docs: DataFrame, sketched: DataFrame, held: DataFrame) -> DataFrame:
+    """node, text of the nodes in buckets, from one document of each."""
+    first = sketched.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"))
+    wanted = held.select("node").distinct().join(first, "node").select("node", "own.*")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"]).select("node", "text")
+    if not sketched.groupBy("doc_id").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows
+    return common.stored(texts, "texts")
+
+
+def _apart(pairs: DataFrame, merged: DataFrame, one: str, two: str) -> DataFrame:
+    """pairs whose nodes are in different components."""
+    for c in (one, two):
+        pairs = pairs.join(merged.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")), c, "left")
+    return pairs.where(F.coalesce(f"{one}_component", one) != F.coalesce(f"{two}_component", two))
+
+
+def _joined(links: DataFrame | None, found: DataFrame) -> DataFrame:
+    found = common.stored(found, "links")
+    return found if links is None else links.unionByName(found)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
