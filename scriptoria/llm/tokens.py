@@ -1,34 +1,69 @@
 """Token ids of whole texts, by the pieces of a text between spaces and line ends.
 
-The tokenizers this is for drop white space and never merge over it, so a piece's ids don't depend on its
-neighbours; a piece is encoded once and its ids are kept as bytes in a cache of bounded size."""
+The tokenizers this is for drop white space, never merge over it, and mark the end of a word in its last token, so
+a piece's ids don't depend on its neighbours; a piece is encoded once and its ids are kept as bytes in a cache of
+bounded size."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Pieces that a worker keeps; all are dropped when there are more.
-CACHED_PIECES, LONG_PIECE = 1_000_000, 64
+#: Pieces, and words without their last mark, that a worker keeps; all are dropped when there are more.
+CACHED_PIECES, CACHED_WORDS, TOGETHER = 600_000, 600_000, 500
+MARKS = ".,;:!?"
 
 _OPEN: dict = {}
 
 
 class Encoder:
-    """ids as bytes of little-endian unsigned integers of `width` bytes."""
+    """ids as bytes of little-endian unsigned integers of `width` bytes.
+
+    A piece of letters and one mark is two words for the tokenizer, so its ids are those of both. Words of letters
+    are encoded many at once; each ends with the one id whose token ends a word."""
 
     def __init__(self, path: str, width: int = 4):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {"": b""}
+        self.tokenizer, self.kind, self.cache, self.words = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {"": b""}, {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+
+    @staticmethod
+    def parts(piece: str) -> tuple[str, str]:
+        """Word and mark of a piece."""
+        mark = ""
+        if piece[-1] in MARKS and piece[:-1].isalpha():
+            piece, mark = piece[:-1], piece[-1]
+        # lower case here as the tokenizer has it, but for letters whose lower case depends on their place or isn't one
+        return piece.lower() if piece.isalpha() and "Σ" not in piece and "İ" not in piece else piece, mark
 
     def fill(self, pieces: set) -> None:
         if len(self.cache) + len(pieces) > CACHED_PIECES:
             self.cache = {"": b""}
-        pieces = sorted(pieces)
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at : at + 1000]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(got.ids, self.kind).tobytes()
+        split = {p: self.parts(p) for p in pieces if p}
+        wanted = {w for both in split.values() for w in both} - self.words.keys()
+        if len(self.words) + len(wanted) > CACHED_WORDS:
+            self.words = {"": b""}
+            wanted = {w for both in split.values() for w in both} - {""}
+        plain = sorted(w for w in wanted if w.isalpha() and "İ" not in w)
+        other = sorted(wanted.difference(plain))
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at : at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                other += part  # some word is more than one for the tokenizer
+                continue
+            begin = 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                self.words[word] = ids[begin:end].tobytes()
+                begin = end
+        for word in other:
+            self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        for piece, (word, mark) in split.items():
+            self.cache[piece] = self.words[word] + self.words[mark]
 
     def encode(self, texts: list) -> list[bytes]:
         """ids of each text; null is empty."""
