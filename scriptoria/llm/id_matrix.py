@@ -1,10 +1,10 @@
 """Token ids as binary matrices, packed by best-fit decreasing.
 
-Pieces go, longest first, to the sequence with the least room that still holds them; a segment tree over the
-capacities finds it. Sequences of equal room are interchangeable, so the search works on runs of them and on the
-histogram of lengths: its size doesn't depend on the number of documents. Each row of the result is one sequence:
-its ids (little-endian unsigned 16-bit, filled up with PAD), cumulative segment lengths, and where positions
-restart from 0.
+Each task tokenizes its texts once and packs them shard by shard, a shard being SHARD_TOKENS ids: pieces go, longest
+first, to the sequence with the least room that still holds them; a segment tree over the capacities finds it.
+Sequences of equal room are interchangeable, so the search works on runs of them and on the histogram of lengths.
+Nothing is shuffled; a shard wastes about one sequence in a thousand. Each row of the result is one sequence: its ids
+(little-endian unsigned 16-bit, filled up with PAD), cumulative segment lengths, and where positions restart from 0.
 
 Edge cases: null text is empty and gives the end token alone; overlong documents are cut losslessly; repeated rows
 are packed each; an empty table gives no rows; ids above 65,535 are an error."""
@@ -12,14 +12,16 @@ are packed each; an empty table gives no rows; ids above 65,535 are an error."""
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm import common
-from scriptoria.llm.placing import Placement, histogram, placed
+from scriptoria.llm.placing import Placement
 from scriptoria.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END, PAD = 4096, 1, 0
+SHARD_TOKENS = 4_000_000
 
 
 class Rooms:
@@ -91,44 +93,58 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> lis
     return plan
 
 
-def packed_ids(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def shard(pieces: list[tuple], capacity: int) -> list[list[tuple]]:
+    """pieces (length, ...) by sequence, in place order."""
+    pieces = sorted(pieces, key=lambda p: -p[0])  # those of one length stay in order
+    counts: dict[int, int] = {}
+    for p in pieces:
+        counts[p[0]] = counts.get(p[0], 0) + 1
+    begin, at = {}, 0
+    for n, c in counts.items():
+        begin[n] = at
+        at += c
+    rows: dict[int, list] = {}
+    for place in best_fit_decreasing(counts, capacity):
+        for i in range(place.count):
+            rows.setdefault(place.sequence + i // place.each, []).append(pieces[begin[place.length] + place.rank + i])
+    return [rows[k] for k in sorted(rows)]
+
+
+def packed_ids(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row per sequence: sequence_id, n_tokens, ids, cu_seqlens, position_resets, doc_ids, pieces."""
     path = path or tokenizer_path()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-
-    def lengths(batch):
-        doc, text_hash, size = [], [], []
-        for d, h, got in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), encoder(path, 2).encode(batch.column("text").to_pylist()), strict=True):
-            n = len(got) // 2 + 1
-            doc.append(d), text_hash.append(h), size.append(n)
-        return {"doc_id": doc, "text_hash": text_hash, "tokens": size}
-
-    sizes = common.stored(common.arrow_map(docs, "doc_id long, text_hash long, tokens long", lengths), "lengths")
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tokens") - 1, F.lit(capacity).cast("long")))
-    pieces = sizes.withColumn("start", starts).withColumn("length", F.least(F.lit(capacity), F.col("tokens") - F.col("start"))).withColumn("piece", F.floor(F.col("start") / capacity).cast("int"))
-    plan = best_fit_decreasing(histogram(pieces), capacity)
-    where = placed(pieces, plan, ["doc_id", "text_hash", "piece"]).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("piece", "start", "length", "sequence_id", "offset")).alias("places"))
-    if not sizes.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text_hash"])  # their places are all in the one row
-
-    def cut(batch):
-        last, out = np.array([end], "<u2").tobytes(), []
-        for doc, places, got in zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), encoder(path, 2).encode(batch.column("text").to_pylist()), strict=True):
-            got += last
-            out += [(p["sequence_id"], p["offset"], doc, p["piece"], got[2 * p["start"] : 2 * (p["start"] + p["length"])]) for p in places]
-        return dict(zip(("sequence_id", "offset", "doc_id", "piece", "ids"), zip(*out, strict=True), strict=True)) if out else None
-
-    # null doc_ids and texts meet by null-safe comparison of their hash
-    both = docs.withColumn("k", F.xxhash64("doc_id")).join(where.withColumn("k", F.xxhash64("doc_id")).withColumnRenamed("doc_id", "w_doc"), ["k", "text_hash"]).where(F.col("doc_id").eqNullSafe(F.col("w_doc")))
-    parts = common.arrow_map(both.select("doc_id", "text", "places"), "sequence_id long, offset long, doc_id long, piece int, ids binary", cut)
-    rows = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("parts"))  # at most `capacity` parts
-    joined = F.aggregate("parts", F.lit(b""), lambda got, p: F.concat(got, p["ids"]))
-    rows = rows.select("sequence_id", joined.alias("ids"), "parts.offset", "parts.doc_id", "parts.piece").withColumn("n_tokens", (F.octet_length("ids") / 2).cast("long"))
-    fill = F.lit(np.full(capacity, PAD, "<u2").tobytes())
-    return rows.select(
-        "sequence_id", "n_tokens", F.substring(F.concat("ids", fill), 1, 2 * capacity).alias("ids"), F.concat("offset", F.array("n_tokens")).alias("cu_seqlens"),
-        F.col("offset").alias("position_resets"), F.col("doc_id").alias("doc_ids"), F.col("piece").alias("pieces"),
-    )
+    common.prepare(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def batch_of(pieces: list) -> pa.RecordBatch:
+        out = []
+        for row in shard(pieces, capacity):
+            ids = b"".join(p[3] for p in row)
+            ends = np.cumsum([p[0] for p in row])
+            fill = np.full(capacity - int(ends[-1]), PAD, "<u2").tobytes()
+            out.append((int(ends[-1]), ids + fill, [0, *ends.tolist()], [0, *ends[:-1].tolist()], [p[1] for p in row], [p[2] for p in row]))
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        names = ["n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "pieces"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def run(batches):
+        last, held, tokens = np.array([end], "<u2").tobytes(), [], 0
+        for whole in batches:
+            for batch in common.slices(whole):
+                for doc, got in zip(batch.column("doc_id").to_pylist(), encoder(path, 2).encode(batch.column("text").to_pylist()), strict=True):
+                    got += last
+                    n = len(got) // 2
+                    for k, a in enumerate(range(0, n, capacity)):
+                        held.append((min(capacity, n - a), doc, k, got[2 * a : 2 * (a + capacity)]))
+                        tokens += held[-1][0]
+                        if tokens >= shard_tokens:
+                            yield batch_of(held)
+                            held, tokens = [], 0
+        if held:
+            yield batch_of(held)
+
+    schema = "n_tokens long, ids binary, cu_seqlens array<long>, position_resets array<long>, doc_ids array<long>, pieces array<int>"
+    return docs.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("sequence_id"), "*")
 
 
 def write(rows: DataFrame, path: str) -> None:
