@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir (an own one in local runs) and reads it back."""
-    spark = df.sparkSession
+def shared_root(spark) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; an own one in local runs where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='scriptoria-')}")
-    path = f"{root}/{label}-{uuid.uuid4().hex}.parquet"
+    return root
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends here, and a lost executor costs no more."""
+    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def group_sizes(count: Column, fanout: int) -> Column:
@@ -54,12 +58,11 @@ def fanout(largest: Column, capacity: Column, ceiling: int | None = None) -> Col
     return F.when(n >= 2, n)
 
 
-def tree(leaves: DataFrame, width: int, merged: Column | None = None, key: str = "doc_id", keep: int = 3) -> DataFrame:
+def tree(leaves: DataFrame, width: int, key: str = "doc_id", keep: int = 3) -> DataFrame:
     """All nodes of each document's tree: key, level, ord, node_id, children, covered, units.
 
     leaves: key, ord, segment_id, units (array of structs whose first field ranks them, best last). A merge keeps the
     `keep` best units of its children in their order; a group of one is passed through, stamped one level up."""
-    del merged
     level = stored(
         leaves.select(key, F.lit(0).alias("level"), F.col("ord").cast("int").alias("ord"), F.array("segment_id").alias("covered"), "units", F.array().cast("array<string>").alias("children")), "tree-0"
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("text_queries", "source_queries", "segment_queries", "relational_queries")
+_MODULES = ("text_queries", "source_queries", "segment_queries", "relational_queries", "verify_queries", "reduce_queries", "log_queries")
 
 
 def query(name: str, oracle: str | None = None):
