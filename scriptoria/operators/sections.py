@@ -75,7 +75,7 @@ def tree(text: str, outline: list[tuple[int, str, int]], target: int) -> list[_S
         sections.append(_Section(None, 1, 0, starts[0][0] if starts else n))
     else:
         starts[0] = (0, *starts[0][1:])
-    for (start, title, level), end in zip(starts, [s[0] for s in starts[1:]] + [n], strict=True):
+    for (start, title, level), end in zip(starts, [*(s[0] for s in starts[1:]), n][: len(starts)], strict=True):
         sections.append(_Section(title, level, start, end))
     root, path = _Section(None, 0, 0, n), []
     for s in sections:
