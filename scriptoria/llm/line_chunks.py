@@ -75,23 +75,24 @@ def chunk_table(docs: DataFrame, texts: bool) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with doc_id and text (others stay) with repeated chunks removed; more columns n_lines, n_removed."""
-    docs = docs.withColumn("text", F.col("text").cast("string")).withColumn("text_hash", F.xxhash64("text"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", "text")
+    """docs with doc_id and text (others stay) with repeated chunks removed; n_lines and n_removed are added (or replaced)."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.select(*names).withColumn("text", F.col("text").cast("string"))
+    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
+    slim = keyed.select(F.col("__doc").alias("doc_id"), F.col("__hash").alias("text_hash"), "text")
     found = common.stored(chunk_table(slim, texts=False), "chunks")
     place = F.struct("doc_id", "text_hash", "chunk")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
     # the bytes of all occurrences: the least and the greatest are equal only if all are
     compared = chunk_table(slim, texts=True).join(groups.select("digest"), "digest").groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least = most").select("digest")
     repeated = common.stored(groups.join(compared, "digest"), "repeated")
-    gone = found.join(repeated, "digest").where(place != F.col("first")).groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("gone"))
-    names = [c for c in docs.columns if c != "text_hash"]
-    gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("text_hash").alias("gone_hash"), "gone")
-    both = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_doc")) & (docs.text_hash == F.col("gone_hash")), "left").select(*names, "gone")
+    gone = found.join(repeated, "digest").where(place != F.col("first")).groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("__gone"))
+    gone = gone.select(F.col("doc_id").alias("__gone_doc"), F.col("text_hash").alias("__gone_hash"), "__gone")
+    both = keyed.join(gone, F.col("__doc").eqNullSafe(F.col("__gone_doc")) & (F.col("__hash") == F.col("__gone_hash")), "left").select(*names, "__gone")
 
     def work(batch):
         texts, n_lines, n_removed = [], [], []
-        for text, out in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+        for text, out in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist(), strict=True):
             n_lines.append(0 if text is None else text.count("\n") + 1)
             text, n = without(text, set(out)) if out else (text, 0)
             texts.append(text)

@@ -48,10 +48,10 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFr
         rules = F.broadcast(rules)
     hits = shown.join(rules, "short").where("digest = rule_digest and expression = rule")
     order = F.struct(F.length("rule"), (F.col("rule_verdict") == "block").alias("blocks"), F.col("rule"), F.col("rule_verdict"))
-    best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias("best"))
+    best = hits.groupBy("url").agg(F.max_by(F.struct("rule", "rule_verdict"), order).alias("__best"))
     return (
         pages.withColumn("host", host).withColumn("path", path).join(best, "url", "left")
-        .withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce(F.col("best.rule_verdict"), F.lit(default))).drop("best")
+        .withColumn("rule", F.col("__best.rule")).withColumn("verdict", F.coalesce(F.col("__best.rule_verdict"), F.lit(default))).drop("__best")
     )
 
 
