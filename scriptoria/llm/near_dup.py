@@ -2,9 +2,11 @@
 
 Each sketch keeps the ELEMS smallest occurrence-labelled shingles under one hash, in text order, so that it
 is sensitive to edits and moves. ROWS sketches make a band; documents that share a band are candidates.
-Similarity: the longest common subsequence L of two documents' shingle sequences of n and m by a banded
-bit-parallel alignment, L / (n + m - L) >= 0.8; or the same of the sequences of first occurrences, so that repeated
-lines weigh once. For texts in one order this is the Jaccard similarity of their shingles.
+Similarity: with L the longest common subsequence of two texts' words by a banded bit-parallel alignment and n, m their
+numbers, L / max(n, m) >= 0.8; or, so that repeated lines weigh once, L / (n + m - L) >= 0.8 of the sequences of their
+different shingles, which is the shingles' Jaccard similarity for texts in one order. Whatever is alike by shingles
+becomes a candidate (see LEVELS); texts that are alike by words alone mostly do, as edits five or more words apart leave
+shingles.
 
 No group is expanded into pairs: in each bucket all members are compared with one leader. Members of buckets that
 still lie in several components (a common passage brings texts together that aren't alike) go to a finer level with
@@ -28,8 +30,9 @@ from scriptoria.llm.components import components
 from scriptoria.llm.words import U, Words, grams, join_hash, mix
 
 K, ELEMS, SIMILAR = 5, 2, 0.8
-#: (rows of a band, bands). At similarity 0.8 a band agrees with about 0.8 ** (ELEMS * rows): a miss of 6e-5 and 1e-4.
-LEVELS = ((3, 32), (5, 80))
+#: (rows of a band, bands). At shingle similarity s a band agrees with about s ** (ELEMS * rows): a miss at 0.8 of less
+#: than 1e-9 and of 1e-4; at 0.6, which three edits in a hundred words leave, of 4e-3 on the first level.
+LEVELS = ((2, 40), (5, 80))
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -138,19 +141,16 @@ def common_length(a: list, b: list, half: int) -> int:
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Shingles in both, by number: no alignment has more."""
+    """Elements in both, by number: no alignment has more."""
     (x, nx), (y, ny) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     return int(np.minimum(nx[i], ny[j]).sum())
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether L / (n + m - L) >= 0.8, that is 9 L >= 4 (n + m)."""
+def aligned(a: np.ndarray, b: np.ndarray, need: int) -> bool:
+    """Whether the longest common subsequence is of `need` elements at least; the band grows until that is certain."""
     n, m = len(a), len(b)
-    need = -(-4 * (n + m) // 9)
-    if not n or not m or min(n, m) < need:
-        return False
-    if _shared(a, b) < need:
+    if not n or not m or min(n, m) < need or _shared(a, b) < need:
         return False
     short = min(n, m)
     differ = np.flatnonzero(a[:short] != b[:short])
@@ -176,12 +176,12 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
         half = min(most, half * 4)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two shingle sequences, or their first occurrences, are alike."""
-    if alike(a, b):
+def similar(words_a: np.ndarray, words_b: np.ndarray, shingles_a: np.ndarray, shingles_b: np.ndarray) -> bool:
+    """Whether two texts are alike by their words in order, or by their different shingles in order."""
+    if aligned(words_a, words_b, -(-4 * max(len(words_a), len(words_b)) // 5)):
         return True
-    first_a, first_b = (np.sort(np.unique(x, return_index=True)[1]) for x in (a, b))
-    return (len(first_a) < len(a) or len(first_b) < len(b)) and alike(a[first_a], b[first_b])
+    a, b = (x[np.sort(np.unique(x, return_index=True)[1])] for x in (shingles_a, shingles_b))
+    return aligned(a, b, -(-4 * (len(a) + len(b)) // 9))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def work(batch):
         one, two = Words(batch.column("text_a")), Words(batch.column("text_b"))
         (x, fx), (y, fy) = shingles(one), shingles(two)
-        good = [similar(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]) for i in range(batch.num_rows)]
+        good = [similar(one.hashes[one.first[i] : one.first[i + 1]], two.hashes[two.first[i] : two.first[i + 1]], x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]) for i in range(batch.num_rows)]
         keep = np.flatnonzero(good)
         return {"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep))}
 
