@@ -6,11 +6,13 @@ bounded size."""
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
-#: Pieces, and words without their last mark, that a worker keeps; all are dropped when there are more.
-CACHED_PIECES, CACHED_WORDS, TOGETHER = 600_000, 600_000, 500
-MARKS = ".,;:!?"
+#: Pieces, and words, of one generation; what the last generation had is taken over when it is met again.
+PIECES, WORDS, TOGETHER = 400_000, 250_000, 500
+MARKS = frozenset(".,;:!?")
 
 _OPEN: dict = {}
 
@@ -18,64 +20,94 @@ _OPEN: dict = {}
 class Encoder:
     """ids as bytes of little-endian unsigned integers of `width` bytes.
 
-    A piece of letters and one mark is two words for the tokenizer, so its ids are those of both. Words of letters
-    are encoded many at once; each ends with the one id whose token ends a word."""
+    Pieces of simple letters (below U+0250, whose lower case is one letter and which are composed), with one mark after
+    them or none, are a word and a mark for the tokenizer. Such words are put in lower case here and encoded many at
+    once by the same model without its normalizer and patterns, and told apart by the ids whose token ends a word. All
+    other pieces are encoded each by the tokenizer itself."""
 
     def __init__(self, path: str, width: int = 4):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache, self.words = Tokenizer.from_file(path), np.dtype(f"<u{width}"), {"": b""}, {"": b""}
+        self.tokenizer, self.width, self.kind = Tokenizer.from_file(path), width, np.dtype(f"<u{width}")
+        form = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
+        form["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.model = Tokenizer.from_str(json.dumps(form))
+        self.cache, self.old, self.words, self.old_words = {}, {}, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-
-    @staticmethod
-    def parts(piece: str) -> tuple[str, str]:
-        """Word and mark of a piece."""
-        mark = ""
-        if piece[-1] in MARKS and piece[:-1].isalpha():
-            piece, mark = piece[:-1], piece[-1]
-        # lower case here as the tokenizer has it, but for letters whose lower case depends on their place or isn't one
-        return piece.lower() if piece.isalpha() and "Σ" not in piece and "İ" not in piece else piece, mark
-
-    def fill(self, pieces: set) -> None:
-        if len(self.cache) + len(pieces) > CACHED_PIECES:
-            self.cache = {"": b""}
-        split = {p: self.parts(p) for p in pieces if p}
-        wanted = {w for both in split.values() for w in both} - self.words.keys()
-        if len(self.words) + len(wanted) > CACHED_WORDS:
-            self.words = {"": b""}
-            wanted = {w for both in split.values() for w in both} - {""}
-        plain = sorted(w for w in wanted if w.isalpha() and "İ" not in w)
-        other = sorted(wanted.difference(plain))
-        for at in range(0, len(plain), TOGETHER):
-            part = plain[at : at + TOGETHER]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part) or ends[-1] != len(ids):
-                other += part  # some word is more than one for the tokenizer
+        self.marks = dict(zip(sorted(MARKS), map(np.ndarray.tobytes, self.many(self.tokenizer, sorted(MARKS))), strict=True))
+
+    def many(self, by, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def met(self, pieces: set) -> dict[str, bytes]:
+        """The cache, in which ids of these pieces have been put."""
+        if len(self.cache) > PIECES:
+            self.old, self.cache = self.cache, {}
+        if len(self.words) > WORDS:
+            self.old_words, self.words = self.words, {}
+        out, old, words, old_words, marks = self.cache, self.old, self.words, self.old_words, self.marks
+        waiting, new, odd = [], {}, []
+        for piece in pieces:
+            ids = old.get(piece)
+            if ids is not None:
+                out[piece] = ids
                 continue
-            begin = 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                self.words[word] = ids[begin:end].tobytes()
-                begin = end
-        for word in other:
-            self.words[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-        for piece, (word, mark) in split.items():
-            self.cache[piece] = self.words[word] + self.words[mark]
+            word, mark = piece, b""
+            if piece[-1:] in marks:
+                word, mark = piece[:-1], marks[piece[-1]]
+            if not word.isalpha() or not word.isascii() and (max(word) > "\u024f" or "\u0130" in word):
+                odd.append(piece)
+                continue
+            word = word.lower()
+            ids = words.get(word)
+            if ids is None:
+                ids = old_words.get(word)
+                if ids is None:
+                    new[word] = None
+                    waiting.append((piece, word, mark))
+                    continue
+                words[word] = ids
+            out[piece] = ids + mark
+        words_now = list(new)
+        for at in range(0, len(words_now), 64 * TOGETHER):
+            parts = [words_now[i : i + TOGETHER] for i in range(at, min(len(words_now), at + 64 * TOGETHER), TOGETHER)]
+            for part, got in zip(parts, self.many(self.model, [" ".join(p) for p in parts]), strict=True):
+                ends = np.flatnonzero(self.ends[got]) + 1
+                if len(ends) != len(part) or ends[-1] != len(got):
+                    raise ValueError("this tokenizer doesn't mark the end of each word")
+                raw, begin = got.tobytes(), 0
+                for word, end in zip(part, (ends * self.width).tolist(), strict=True):
+                    new[word] = raw[begin:end]
+                    begin = end
+        for piece, word, mark in waiting:
+            out[piece] = new[word] + mark
+        for at in range(0, len(odd), 4096):
+            for piece, got in zip(odd[at : at + 4096], self.many(self.tokenizer, odd[at : at + 4096]), strict=True):
+                out[piece] = got.tobytes()
+        words.update(new)
+        return out
 
     def encode(self, texts: list) -> list[bytes]:
         """ids of each text; null is empty."""
-        split = [[] if t is None else t.replace("\n", " ").split(" ") for t in texts]
         out = []
-        for at in range(0, len(split), 256):
-            part = split[at : at + 256]
-            wanted = set().union(*part) - self.cache.keys()
-            if wanted:
-                self.fill(set().union(*part) if len(self.cache) + len(wanted) > CACHED_PIECES else wanted)
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, pieces)) for pieces in part]
+        for at in range(0, len(texts), 128):
+            pieces, ends = [], [0]
+            for t in texts[at : at + 128]:
+                if t:
+                    # split() would also take these four, which are no white space for the tokenizer
+                    odd = "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t
+                    pieces += filter(None, t.replace("\n", " ").split(" ")) if odd else t.split()
+                ends.append(len(pieces))
+            got = list(map(self.cache.get, pieces))
+            missing = [i for i, ids in enumerate(got) if ids is None]
+            if missing:
+                found = self.met({pieces[i] for i in missing})
+                for i in missing:
+                    got[i] = found[pieces[i]]
+            out += [b"".join(got[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         return out
 
 
