@@ -185,3 +185,35 @@ def src_rtf(spark, sf):
     files = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), data.alias("content"))
     lines = packages.blocks_of(files, "rtf").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("b"))
     return lines.select("path", F.array_join(F.transform("b", lambda b: b["text"]), "\n").alias("text"))
+
+
+@query("ing_outline", r"""
+WITH d AS (SELECT doc_id, length('Title ' || doc_id) AS t, length(text) AS n FROM documents WHERE length(text) > 400)
+SELECT doc_id, CAST(0 AS INTEGER) AS start, CAST(t + 10 + n AS INTEGER) AS "end", 'Title ' || doc_id AS title, CAST(1 AS INTEGER) AS level FROM d
+UNION ALL SELECT doc_id, CAST(t + 1 AS INTEGER), CAST(t + 10 + n AS INTEGER), 'PART Two', CAST(2 AS INTEGER) FROM d""")
+def ing_outline(spark, sf):
+    """ING8, ING13: titles are placed in order, in spite of case, blanks and compatibility forms."""
+    from scriptoria.operators import outline
+
+    docs = table(spark, sf, "documents").where("length(text) > 400")
+    title = F.concat(F.lit("Title "), F.col("doc_id").cast("string"))
+    text = F.concat(title, F.lit("\nPART Two\n"), F.col("text"))
+    hint = lambda t, level: F.struct(t.alias("title"), F.lit(level).alias("level"), F.lit(None).cast("int").alias("page"))
+    hints = F.array(hint(title, 1), hint(F.lit("Ｐart two"), 2), hint(F.lit("never here"), 2))
+    pages = F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.length(text).alias("end"), F.lit(False).alias("blank")))
+    found = outline.anchored(docs.select("doc_id", text.alias("text"), hints.alias("hints"), pages.alias("pages")))
+    return found.select("doc_id", "start", "end", "title", "level")
+
+
+@query("ing_layout")
+def ing_layout(spark, sf):
+    """ING9, ING11, ING12, AGG14, WIN7: headings of laid-out lines; every sixth line is set large, and each page has a running head."""
+    from scriptoria.operators import layout
+
+    docs = table(spark, sf, "documents")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text")).where("trim(text) <> ''")
+    big = F.col("i") % 6 == 0
+    page = F.floor(F.col("i") / 12).cast("int") + 1
+    placed = lines.select("doc_id", page.alias("page"), (F.col("i") % 12 + 1).alias("line_no"), F.when(big, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"), F.when(big, 16.0).otherwise(10.0).alias("size"), big.alias("bold"), (700.0 - (F.col("i") % 12) * 14 - F.floor(F.col("i") % 12 / 6) * 30).alias("y"))
+    heads = placed.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("line_no"), F.concat(F.lit("Running Head "), F.col("page").cast("string")).alias("text"), F.lit(16.0).alias("size"), F.lit(True).alias("bold"), F.lit(760.0).alias("y"))
+    return layout.headings(placed.unionByName(heads))
