@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch and bytes of text worked on at once; both only bound memory.
-BATCH_ROWS, SLICE_BYTES = 2048, 4 << 20
+BATCH_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -88,7 +88,7 @@ def sketches(h: np.ndarray, first: np.ndarray, rows: int, bands: int, seed: int)
 
 
 def sketch_table(df: DataFrame, rows: int, bands: int, seed: int = 7) -> DataFrame:
-    """doc_id, text_hash, node (16 bytes of the words' digest), shingles, bands of a table of doc_id and text."""
+    """doc_id, text_hash, node and twin (16 bytes of the words' digest), shingles, bands of a table of doc_id and text."""
 
     def work(batch):
         words = Words(batch.column("text"))
@@ -104,12 +104,13 @@ def sketch_table(df: DataFrame, rows: int, bands: int, seed: int = 7) -> DataFra
         for i in range(len(n)):
             own = words.hashes[words.first[i] : words.first[i + 1]]
             node.append(hashlib.blake2b(own.tobytes() if len(own) else b"\0" + raw[off[i] : off[i + 1]].tobytes(), digest_size=16).digest())
+        node = np.frombuffer(b"".join(node), "<i8").reshape(-1, 2)
         flat = got[some].astype(np.int64, casting="unsafe") if len(some) else np.zeros((0, bands), np.int64)
         ends = np.zeros(len(n) + 1, np.int32)
         np.cumsum((n > 0) * bands, out=ends[1:])
-        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "node": node, "shingles": n, "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))}
+        return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "node": node[:, 0], "twin": node[:, 1], "shingles": n, "bands": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.ravel()))}
 
-    return common.arrow_map(df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "doc_id long, text_hash long, node binary, shingles long, bands array<long>", work)
+    return common.arrow_map(df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), "doc_id long, text_hash long, node long, twin long, shingles long, bands array<long>", work)
 
 
 def common_length(a: list, b: list, half: int) -> int:
@@ -195,7 +196,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return {"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep))}
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return common.arrow_map(both.select("a", "b", "text_a", "text_b"), "a binary, b binary", work)
+    return common.arrow_map(both.select("a", "b", "text_a", "text_b"), "a long, b long", work)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -207,12 +208,16 @@ def classified(docs: DataFrame) -> DataFrame:
     """near_duplicates() with text_hash, which tells rows that share a doc_id apart."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = common.stored(sketch_table(docs, *LEVELS[0]), "omh")
+    clash = sketched.groupBy("node").agg(F.min("twin").alias("lo"), F.max("twin").alias("hi")).where("lo <> hi").select("node", F.lit(True).alias("clash"))
+    if not clash.isEmpty():  # different words of one 64-bit node
+        own = F.when(F.col("clash"), F.xxhash64("node", "twin")).otherwise(F.col("node"))
+        sketched = common.stored(sketched.join(clash, "node", "left").withColumn("node", own).drop("clash"), "omh")
     nodes = sketched.groupBy("node").agg(F.first("bands").alias("bands"))
     links, texts, merged = None, None, None
     for level, (rows, bands) in enumerate(LEVELS):
         if level:
-            own = texts.join(apart, "node", "left_semi").select(F.lit(0).cast("long").alias("doc_id"), "text")
-            nodes = common.stored(sketch_table(own, rows, bands, seed=7 + level), "omh-finer").select("node", "bands")
+            own = texts.join(apart, "node", "left_semi").select(F.col("node").alias("doc_id"), "text")
+            nodes = common.stored(sketch_table(own, rows, bands, seed=7 + level), "omh-finer").select(F.col("doc_id").alias("node"), "bands")
         members = nodes.select("node", F.explode("bands").alias("bucket"))
         leaders = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
         held = common.stored(members.join(leaders, "bucket"), "buckets")
