@@ -74,7 +74,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) ->
         code = encoder(path)
         last = np.array([end], code.kind).tobytes()
         ids, out = batch.column("doc_id").to_pylist(), []
-        for doc, got in zip(ids, code.encode(batch.column("text").to_pylist()), strict=True):
+        for doc, got in zip(ids, code.encode(batch.column("text").cast("binary").to_pylist()), strict=True):
             got += last
             n = len(got) // 4
             out += [(doc, i // capacity, i, min(capacity, n - i), zlib.crc32(got[4 * i : 4 * (i + capacity)])) for i in range(0, n, capacity)]

@@ -131,7 +131,7 @@ def packed_ids(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
         last, held, tokens = np.array([end], "<u2").tobytes(), [], 0
         for whole in batches:
             for batch in common.slices(whole):
-                for doc, got in zip(batch.column("doc_id").to_pylist(), encoder(path, 2).encode(batch.column("text").to_pylist()), strict=True):
+                for doc, got in zip(batch.column("doc_id").to_pylist(), encoder(path, 2).encode(batch.column("text").cast("binary").to_pylist()), strict=True):
                     got += last
                     n = len(got) // 2
                     for k, a in enumerate(range(0, n, capacity)):

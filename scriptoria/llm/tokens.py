@@ -11,8 +11,8 @@ import json
 import numpy as np
 
 #: Pieces, and words, of one generation; what the last generation had is taken over when it is met again.
-PIECES, WORDS, TOGETHER = 400_000, 250_000, 500
-MARKS = frozenset(".,;:!?")
+PIECES, WORDS, TOGETHER = 600_000, 300_000, 500
+MARKS = ".,;:!?"
 
 _OPEN: dict = {}
 
@@ -32,17 +32,21 @@ class Encoder:
         form = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "added_tokens": []}
         form["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.model = Tokenizer.from_str(json.dumps(form))
+        if hasattr(self.model.model, "_resize_cache"):  # its own cache only costs time, as no word comes twice
+            model = self.model.model
+            model._resize_cache(0)
+            self.model.model = model
         self.cache, self.old, self.words, self.old_words = {}, {}, {}, {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.marks = dict(zip(sorted(MARKS), map(np.ndarray.tobytes, self.many(self.tokenizer, sorted(MARKS))), strict=True))
+        self.marks = {m.encode(): ids.tobytes() for m, ids in zip(MARKS, self.many(self.tokenizer, list(MARKS)), strict=True)}
 
     def many(self, by, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def met(self, pieces: set) -> dict[str, bytes]:
+    def met(self, pieces: set) -> dict[bytes, bytes]:
         """The cache, in which ids of these pieces have been put."""
         if len(self.cache) > PIECES:
             self.old, self.cache = self.cache, {}
@@ -57,11 +61,15 @@ class Encoder:
                 continue
             word, mark = piece, b""
             if piece[-1:] in marks:
-                word, mark = piece[:-1], marks[piece[-1]]
-            if not word.isalpha() or not word.isascii() and (max(word) > "\u024f" or "\u0130" in word):
-                odd.append(piece)
-                continue
-            word = word.lower()
+                word, mark = piece[:-1], marks[piece[-1:]]
+            if word.isalpha():
+                word = word.lower()
+            else:
+                letters = word.decode()
+                if not letters.isalpha() or max(letters) > "\u024f" or "\u0130" in letters:
+                    odd.append(piece)
+                    continue
+                word = letters.lower().encode()
             ids = words.get(word)
             if ids is None:
                 ids = old_words.get(word)
@@ -74,7 +82,7 @@ class Encoder:
         words_now = list(new)
         for at in range(0, len(words_now), 64 * TOGETHER):
             parts = [words_now[i : i + TOGETHER] for i in range(at, min(len(words_now), at + 64 * TOGETHER), TOGETHER)]
-            for part, got in zip(parts, self.many(self.model, [" ".join(p) for p in parts]), strict=True):
+            for part, got in zip(parts, self.many(self.model, [b" ".join(p).decode() for p in parts]), strict=True):
                 ends = np.flatnonzero(self.ends[got]) + 1
                 if len(ends) != len(part) or ends[-1] != len(got):
                     raise ValueError("this tokenizer doesn't mark the end of each word")
@@ -85,21 +93,19 @@ class Encoder:
         for piece, word, mark in waiting:
             out[piece] = new[word] + mark
         for at in range(0, len(odd), 4096):
-            for piece, got in zip(odd[at : at + 4096], self.many(self.tokenizer, odd[at : at + 4096]), strict=True):
+            for piece, got in zip(odd[at : at + 4096], self.many(self.tokenizer, [p.decode() for p in odd[at : at + 4096]]), strict=True):
                 out[piece] = got.tobytes()
         words.update(new)
         return out
 
     def encode(self, texts: list) -> list[bytes]:
-        """ids of each text; null is empty."""
+        """ids of each text (UTF-8 bytes or a string); null is empty."""
         out = []
         for at in range(0, len(texts), 128):
             pieces, ends = [], [0]
             for t in texts[at : at + 128]:
                 if t:
-                    # split() would also take these four, which are no white space for the tokenizer
-                    odd = "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t
-                    pieces += filter(None, t.replace("\n", " ").split(" ")) if odd else t.split()
+                    pieces += (t if isinstance(t, bytes) else t.encode()).split()  # at ASCII white space
                 ends.append(len(pieces))
             got = list(map(self.cache.get, pieces))
             missing = [i for i, ids in enumerate(got) if ids is None]
