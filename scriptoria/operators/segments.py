@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions import counters
 from scriptoria.functions import text as T
 from scriptoria.sources.arrow import flat_mapped
 
@@ -191,10 +192,13 @@ def utf8_size(text: str) -> int:
 
 
 class Budget:
-    """A monotone counter over one text: prefix sums where it adds up, else a search."""
+    """A counter over one text: prefix sums where it adds up, else a search, which is counted again where the counter isn't monotone.
 
-    def __init__(self, text: str, count: Callable[[str], int] = utf8_size):
-        self.text, self.count = text, count
+    count: a function of a text, or one of functions.counters."""
+
+    def __init__(self, text: str, count=utf8_size):
+        self.text, self.counter = text, count if hasattr(count, "count") else None
+        self.count = self.counter.count if self.counter else count
         self.sums = None
         if count is utf8_size:
             self.sums = [0]
@@ -207,6 +211,8 @@ class Budget:
 
     def furthest(self, a: int, end: int, most: int) -> int:
         """The largest b <= end with cost(a, b) <= most."""
+        if self.counter:
+            return counters.fitting_prefix(self.counter, self.text, a, end, most)
         lo, hi = a, end
         while lo < hi:
             mid = (lo + hi + 1) // 2
@@ -215,6 +221,8 @@ class Budget:
 
     def earliest(self, begin: int, b: int, most: int) -> int:
         """The least a >= begin with cost(a, b) <= most."""
+        if self.counter:
+            return counters.fitting_suffix(self.counter, self.text, begin, b, most)
         lo, hi = begin, b
         while lo < hi:
             mid = (lo + hi) // 2
@@ -229,7 +237,7 @@ class Budget:
                 raise ValueError("the budget holds no character")
             if end < b:
                 blank = next((i for i in range(end, a, -1) if self.text[i - 1].isspace()), end)
-                end = blank
+                end = blank if self.cost(a, blank) <= most else end
             yield a, end
             a = end
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions import numbers as N
 from scriptoria.functions import text as T
 
 VERDICTS = ("supported", "contradicted", "insufficiently_supported", "not_meaningfully_verifiable")
@@ -189,3 +190,33 @@ def classified(evidence: DataFrame, keys: list[str]) -> DataFrame:
     share = F.size(F.array_intersect(mine, theirs)) / F.greatest(F.size(mine), F.lit(1))
     verdict = F.when(F.size(mine) == 0, VERDICTS[3]).when(share == 1, VERDICTS[0]).otherwise(VERDICTS[2])
     return evidence.select(*keys, verdict.alias("verdict"), share.alias("share"))
+
+
+# Allowed differences
+
+#: Words that don't count when wordings are compared, and units in one form.
+LENIENT = "a an the of to in on for and or with from by at as is was were be been being that this it its their his her".split()
+UNITS = {"ft": "foot", "feet": "foot"}
+
+
+def wording(text: Column) -> Column:
+    """Distinct words that matter for a comparison: no numbers, approximations or function words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]+(?:-[a-z]+)?)"), F.lit(1))
+    tens, ones = "|".join(N.TENS), "|".join(N.UNITS)
+    skipped = [*LENIENT, *N.APPROXIMATE, *N.UNITS, *N.TENS]
+    words = F.filter(words, lambda w: ~w.isin(*skipped) & ~w.rlike(f"^(?:{tens})-(?:{ones})$"))
+    fold = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    return F.array_distinct(F.transform(words, lambda w: F.coalesce(F.try_element_at(fold, w), w)))
+
+
+def allowed_difference(anchor: Column, evidence: Column, strict_numbers: bool = False, strict_names: bool = False) -> Column:
+    """"rounded_number" or "shortened_name" if that may be all that a claim differs in, else null; it only asks for a second look."""
+    same = (F.size(wording(anchor)) > 0) & (F.size(F.array_except(wording(anchor), wording(evidence))) == 0)
+    mine, theirs = N.number_values(anchor), N.number_values(evidence)
+    number = same & F.when(F.size(mine) > 0, N.numbers_close(anchor, evidence)).otherwise(F.size(theirs) > 0)
+    low = F.lower(anchor)
+    shortened = F.exists(T.proper_names(evidence), lambda n: ~F.contains(low, F.lower(n)) & F.exists(F.split(F.lower(n), " +"), lambda p: F.regexp_like(low, F.concat(F.lit("(?:^|[^a-z0-9])"), p, F.lit("(?:[^a-z0-9]|$)")))))
+    named = same & F.forall(T.proper_names(anchor), lambda n: F.contains(F.lower(evidence), F.lower(n))) & shortened
+    by_number = F.lit(not strict_numbers) & number
+    found = F.when(by_number & ~(F.lit(strict_names) & shortened), "rounded_number").when(~by_number & F.lit(not strict_names) & named, "shortened_name")
+    return F.when(F.trim(evidence) != "", found)

@@ -205,3 +205,27 @@ SELECT doc_id, sha256(string_agg(t, ' ' ORDER BY ord)) AS digest, CAST(sum(words
 def cmp_shorten(spark, sf):
     """CMP1, CMP2: the deterministic shortening to a number of words."""
     return verify.compressed(segments.sentence_spans(table(spark, sf, "documents")), 60).select("doc_id", F.sha2("text", 256).alias("digest"), "words")
+
+
+@query("flt_tolerance", r"""
+SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'rounded_number' WHEN 1 THEN 'shortened_name' END AS allowed FROM benchmark""")
+def flt_tolerance(spark, sf):
+    """FLT7: rounded numbers and shortened names, which get a second look."""
+    n = F.col("item_id") % 4
+    claim = F.when(n == 0, "About 100 people of the town came").when(n == 1, "Lovelace wrote the notes").when(n == 2, "It was 100 people of the town that sang").otherwise("Turing wrote the notes")
+    evidence = F.when(n % 2 == 0, "The town: 104 people came").otherwise("Ada Lovelace wrote the notes")
+    return table(spark, sf, "benchmark").select("item_id", verify.allowed_difference(claim, evidence).alias("allowed"))
+
+
+@query("tok_vocabulary")
+def tok_vocabulary(spark, sf):
+    """TOK2 to TOK4: tokens by a vocabulary file, where one is installed; else the default counter."""
+    from scriptoria.functions import counters
+
+    try:
+        import public_tokenizers
+
+        name, path = "tokenizer", public_tokenizers.path("byte_bpe_50k.json")
+    except ImportError:
+        name, path = "utf8", None
+    return counters.counted(table(spark, sf, "benchmark"), "item_id", "text", name, path)

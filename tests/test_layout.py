@@ -23,3 +23,31 @@ def test_headings_of_pages(spark):
     lines = spark.createDataFrame(rows, "doc_id long, page int, line_no int, text string, size double, bold boolean, y double")
     got = [(r.page, r.title, r.level) for r in layout.headings(lines).orderBy("page", "line_no").collect()]
     assert got == [x for p in (1, 2, 3, 4) for x in ((p, f"Chapter {'ABCD'[p - 1]} of the book", 1), (p, "A Section", 2))]
+
+
+class Odd:
+    """Counts pairs, and "ab" as nothing: longer texts can count less."""
+
+    identity, exact, monotonic = "odd", True, False
+
+    def count(self, text):
+        return (len(text.replace("ab", "")) + 1) // 2
+
+
+def test_counters():
+    import random
+
+    from scriptoria.functions import counters
+    from scriptoria.operators import segments
+
+    rng = random.Random(4)
+    for counter in (Odd(), counters.Utf8()):
+        for _ in range(40):
+            text = "".join(rng.choice("ab é\n.") for _ in range(rng.randint(1, 200)))
+            end = counters.fitting_prefix(counter, text, 0, len(text), 7)
+            assert counter.count(text[:end]) <= 7 and (end == len(text) or not counter.monotonic or counter.count(text[: end + 1]) > 7)
+            start = counters.fitting_suffix(counter, text, 0, len(text), 7)
+            assert counter.count(text[start:]) <= 7
+            found = segments.segment(text, 9, 3, count=counter)
+            assert found[0][1] == 0 and found[-1][2] == len(text) and all(a[2] == b[1] for a, b in zip(found, found[1:], strict=False))
+            assert all(counter.count(text[s:e]) <= 9 for _, s, e, *_ in found)
