@@ -125,12 +125,11 @@ def ctl_model(spark, sf):
 
 
 @query("ctl_cache", """
-SELECT doc_id, sha256('{"t":"' || sha256(text) || '"}') AS cache_key, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS answer
-FROM (SELECT doc_id, text, min(doc_id % 2) OVER (PARTITION BY text) AS p FROM documents) QUALIFY true""".replace("CASE WHEN doc_id % 2 = 0", "CASE WHEN p = 0").replace(" QUALIFY true", ""))
+SELECT doc_id, sha256('{"t":"' || sha256(text) || '"}') AS cache_key, CASE WHEN bool_or(lang = 'en') OVER (PARTITION BY text) THEN 'old' ELSE 'new' END AS answer FROM documents""")
 def ctl_cache(spark, sf):
     """CTL4, HS2, SNK7, SEG17, JOIN10: known answers are taken, the rest is computed once for each key."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", model.cache_key(F.sha2("text", 256).alias("t")).alias("cache_key"))
-    cache = model.first_writer(docs.where("doc_id % 2 = 0").select("cache_key", F.lit("old").alias("answer"), "doc_id"), "doc_id").select("cache_key", "answer")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", model.cache_key(F.sha2("text", 256).alias("t")).alias("cache_key"))
+    cache = model.first_writer(docs.where("lang = 'en'").select("cache_key", F.lit("old").alias("answer"), "doc_id"), "doc_id").select("cache_key", "answer")
     return model.resolved(docs, cache, "doc_id", lambda missing: missing.withColumn("answer", F.lit("new")))[0].select("doc_id", "cache_key", "answer")
 
 
@@ -152,13 +151,13 @@ def snk_publish(spark, sf):
 
 
 @query("snk_markdown", f"""
-WITH {SPANS}, z AS (SELECT doc_id AS d, ord AS o, trim(text) AS t, 'S' || (ord * 7 % 3) AS seg FROM sp WHERE ord < 5),
+WITH {SPANS}, z AS (SELECT doc_id AS d, ord AS o, trim(text) AS t, 'S' || (ord * 7 % 3) AS seg FROM sp),
 n AS (SELECT d, seg, row_number() OVER (PARTITION BY d ORDER BY f) AS k FROM (SELECT d, seg, min(o) AS f FROM z GROUP BY d, seg))
 SELECT z.d AS doc_id, sha256(string_agg(t || '[^' || k || ']', ' ' ORDER BY o) || chr(10) || chr(10) || (SELECT string_agg('[^' || k || ']: ' || seg, chr(10) ORDER BY k) FROM n m WHERE m.d = z.d) || chr(10)) AS digest
 FROM z JOIN n ON n.d = z.d AND n.seg = z.seg GROUP BY z.d""")
 def snk_markdown(spark, sf):
     """SNK5: Markdown with footnotes numbered by first citation."""
-    s = segments.sentence_spans(table(spark, sf, "documents")).where("ord < 5").withColumn("segment_id", F.concat(F.lit("S"), (F.col("ord") * 7 % 3).cast("string")))
+    s = segments.sentence_spans(table(spark, sf, "documents")).withColumn("segment_id", F.concat(F.lit("S"), (F.col("ord") * 7 % 3).cast("string")))
     return publish.footnoted(s).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 

@@ -89,10 +89,10 @@ def join_children(spark, sf):
 
 
 @query("join_coalesce", """
-SELECT coalesce(a.doc_id, l.doc_id) AS doc_id, CAST(coalesce(l.quality, a.doc_id % 2) AS BIGINT) AS quality, l.doc_id IS NULL AS from_second FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN labels l ON a.doc_id = l.doc_id""")
+SELECT coalesce(a.doc_id, l.doc_id) AS doc_id, CAST(coalesce(l.quality, a.doc_id % 2) AS BIGINT) AS quality, l.doc_id IS NULL AS from_second FROM documents a FULL JOIN labels l ON a.doc_id = l.doc_id""")
 def join_coalesce(spark, sf):
     """JOIN12, SET5: the first index, else the second."""
-    a = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("a_id"))
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("a_id"))
     both = a.join(table(spark, sf, "labels"), F.col("a_id") == F.col("doc_id"), "full")
     return both.select(F.coalesce("a_id", "doc_id").alias("doc_id"), F.coalesce("quality", F.col("a_id") % 2).cast("long").alias("quality"), F.col("doc_id").isNull().alias("from_second"))
 
@@ -110,11 +110,11 @@ def join_retry(spark, sf):
 
 
 @query("join_quote", """
-WITH q AS (SELECT doc_id, text, text[11:40] AS quote FROM documents WHERE length(text) > 60)
+WITH q AS (SELECT doc_id, text, text[11:40] AS quote FROM documents)
 SELECT doc_id, CAST(instr(text, quote) AS INTEGER) AS first_at, CAST(instr(text, quote) - 1 + 100 AS INTEGER) AS document_offset, contains(text, quote) AS found FROM q""")
 def join_quote(spark, sf):
     """JOIN14, VER17: where a quotation stands, with the segment's base offset."""
-    q = table(spark, sf, "documents").where("length(text) > 60").select("doc_id", "text", F.substring("text", 11, 30).alias("quote"))
+    q = table(spark, sf, "documents").select("doc_id", "text", F.substring("text", 11, 30).alias("quote"))
     return q.select("doc_id", F.instr(F.col("text"), F.col("quote")).alias("first_at"), (F.instr(F.col("text"), F.col("quote")) - 1 + 100).alias("document_offset"), F.contains("text", "quote").alias("found"))
 
 
@@ -314,23 +314,21 @@ def srt_tree(spark, sf):
 
 
 @query("srt_plan_order", """
-SELECT p.o_orderkey AS work_id, CAST(row_number() OVER (ORDER BY p.o_orderdate, p.o_orderkey) AS INTEGER) AS position, a.n FROM orders p JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a ON a.l_orderkey = p.o_orderkey WHERE p.o_orderpriority = (SELECT min(o_orderpriority) FROM orders) AND p.o_orderkey % 50 = 1""")
+SELECT p.o_orderkey AS work_id, p.o_custkey AS plan, CAST(row_number() OVER (PARTITION BY p.o_custkey ORDER BY p.o_orderdate, p.o_orderkey) AS INTEGER) AS position, coalesce(a.n, 0) AS n FROM orders p LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) a ON a.l_orderkey = p.o_orderkey""")
 def srt_plan_order(spark, sf):
-    """SRT11: results in the order of a plan: the plan of one priority's every fiftieth run."""
-    runs = table(spark, sf, "orders")
-    first = runs.agg(F.min("o_orderpriority").alias("o_orderpriority"))
-    plan = runs.join(F.broadcast(first), "o_orderpriority").where("o_orderkey % 50 = 1")
+    """SRT11: results in the order of their plan, whatever the order they came in."""
     n = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    got = plan.join(n, F.col("l_orderkey") == F.col("o_orderkey"))
-    return got.select(F.col("o_orderkey").alias("work_id"), F.row_number().over(Window.orderBy("o_orderdate", "o_orderkey")).alias("position"), "n")
+    plan = table(spark, sf, "orders").withColumn("position", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
+    got = plan.join(n, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return got.select(F.col("o_orderkey").alias("work_id"), F.col("o_custkey").alias("plan"), "position", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("set_operations", r"""
-WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text[1:300]), '[\p{L}\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(text[200:500]), '[\p{L}\p{N}]+')) AS b FROM documents)
+WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text[1 : length(text) // 2]), '[\p{L}\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(text[length(text) // 3 :]), '[\p{L}\p{N}]+')) AS b FROM documents)
 SELECT doc_id, CAST(len(list_intersect(a, b)) AS INTEGER) AS shared, CAST(len(list_distinct(list_concat(a, b))) AS INTEGER) AS either, CAST(len(a) - len(list_intersect(a, b)) AS INTEGER) AS only_a, list_has_all(a, b) AS subset FROM t""")
 def set_operations(spark, sf):
     """SET1 to SET4: unions, intersections, differences and subsets of term sets."""
-    t = table(spark, sf, "documents").select("doc_id", T.terms(F.substring("text", 1, 300)).alias("a"), T.terms(F.substring("text", 200, 301)).alias("b"))
+    t = table(spark, sf, "documents").select("doc_id", T.terms(F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))).alias("a"), T.terms(F.substring(F.col("text"), F.greatest(F.floor(F.length("text") / 3).cast("int"), F.lit(1)), F.length("text"))).alias("b"))
     return t.select("doc_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.size(F.array_union("a", "b")).alias("either"), F.size(F.array_except("a", "b")).alias("only_a"), (F.size(F.array_except("b", "a")) == 0).alias("subset"))
 
 

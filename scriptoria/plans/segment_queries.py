@@ -61,11 +61,10 @@ def seg_pack_sentences(spark, sf):
     return segments.packed_sentences(table(spark, sf, "documents"), 2000).select("doc_id", "ord", "units", "tokens")
 
 
-@query("seg_blocks", "SELECT doc_id, CAST(0 AS INTEGER) AS block_no, CAST(0 AS INTEGER) AS start, CAST(length(text) AS INTEGER) AS \"end\", 'paragraph' AS kind FROM documents WHERE text <> '' AND NOT contains(text, chr(10) || chr(10))")
+@query("seg_blocks", "SELECT doc_id, CAST(0 AS INTEGER) AS block_no, CAST(0 AS INTEGER) AS start, CAST(length(text) AS INTEGER) AS \"end\", 'paragraph' AS kind FROM documents WHERE text <> ''")
 def seg_blocks(spark, sf):
     """SEG2: structural blocks; these documents are one paragraph each."""
-    docs = table(spark, sf, "documents")
-    return segments.blocks(docs.where("text <> '' and not contains(text, '\n\n')"))
+    return segments.blocks(table(spark, sf, "documents"))
 
 
 @query("seg_headings")

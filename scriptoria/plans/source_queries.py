@@ -176,10 +176,10 @@ def src_decode(spark, sf):
 
 
 @query("src_rtf", rf"""
-SELECT 'd' || doc_id AS path, array_to_string(list_filter(list_transform(string_split(left(text, 500), chr(10)), lambda x: array_to_string({sql_words("x")}, ' ')), lambda x: x <> ''), chr(10)) AS text FROM documents""")
+SELECT 'd' || doc_id AS path, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string({sql_words("x")}, ' ')), lambda x: x <> ''), chr(10)) AS text FROM documents""")
 def src_rtf(spark, sf):
     """SRC10: rich text with escaped characters."""
-    chars = F.split(F.substring("text", 1, 500), "")
+    chars = F.split("text", "")
     body = F.array_join(F.transform(chars, lambda c: F.when(c == "\n", "\\par\n").when(F.ascii(c) > 127, F.concat(F.lit("\\u"), F.ascii(c).cast("string"), F.lit("?"))).when(c.isin("\\", "{", "}"), F.concat(F.lit("\\"), c)).otherwise(c)), "")
     data = F.concat(F.lit("{\\rtf1\\ansi\\ansicpg1252{\\fonttbl{\\f0 Arial;}}\\f0 "), body, F.lit("}")).cast("binary")
     files = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), data.alias("content"))
@@ -188,14 +188,14 @@ def src_rtf(spark, sf):
 
 
 @query("ing_outline", r"""
-WITH d AS (SELECT doc_id, length('Title ' || doc_id) AS t, length(text) AS n FROM documents WHERE length(text) > 400)
+WITH d AS (SELECT doc_id, length('Title ' || doc_id) AS t, length(text) AS n FROM documents)
 SELECT doc_id, CAST(0 AS INTEGER) AS start, CAST(t + 10 + n AS INTEGER) AS "end", 'Title ' || doc_id AS title, CAST(1 AS INTEGER) AS level FROM d
 UNION ALL SELECT doc_id, CAST(t + 1 AS INTEGER), CAST(t + 10 + n AS INTEGER), 'PART Two', CAST(2 AS INTEGER) FROM d""")
 def ing_outline(spark, sf):
     """ING8, ING13: titles are placed in order, in spite of case, blanks and compatibility forms."""
     from scriptoria.operators import outline
 
-    docs = table(spark, sf, "documents").where("length(text) > 400")
+    docs = table(spark, sf, "documents")
     title = F.concat(F.lit("Title "), F.col("doc_id").cast("string"))
     text = F.concat(title, F.lit("\nPART Two\n"), F.col("text"))
     hint = lambda t, level: F.struct(t.alias("title"), F.lit(level).alias("level"), F.lit(None).cast("int").alias("page"))

@@ -15,20 +15,22 @@ _PACKED = _sql_packs("list_transform(string_split(text, chr(10)), lambda x: strl
 
 def _segments(spark, sf):
     """Packs of lines as passages, with their text."""
-    docs = table(spark, sf, "documents").where("doc_id % 10 < 3 or n_chars < 3000")
-    packed = segments.packed_sentences(docs, 1000)
+    packed = segments.packed_sentences(table(spark, sf, "documents"), 1000)
     return packed.select("doc_id", F.format_string("S%06d", F.col("ord") + 1).alias("segment_id"), "ord", "text")
 
 
 def _claims(spark, sf):
-    """Two sentences of each document as its claims."""
-    docs = table(spark, sf, "documents").where("doc_id % 10 < 3 or n_chars < 3000")
-    spans = segments.draft_spans(docs).where("ordinal in (2, 5)").withColumn("anchors", F.split(F.trim("text"), ", "))
-    return verify.claims(spans)
+    """The benchmark's items as claims about the document that shares most of their rarer words."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("anchor"), F.explode(T.terms(F.col("text"))).alias("term"))
+    rare = items.join(items.groupBy("term").count().where("count <= 3"), "term")
+    docs = table(spark, sf, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    shared = docs.join(rare, "term").groupBy("item_id", "anchor", "doc_id").agg(F.count("*").alias("n"))
+    best = shared.groupBy("item_id", "anchor").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
+    return best.select("doc_id", F.format_string("V01C%06d", F.col("item_id") + 1).alias("claim_id"), "anchor")
 
 
 @query("ver_claims", f"""
-WITH {SPANS}, w AS (SELECT doc_id, ord + 1 AS ordinal, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS whole, text FROM sp WHERE ord IN (1, 4)),
+WITH {SPANS}, w AS (SELECT doc_id, ord + 1 AS ordinal, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS whole, text FROM sp),
 a AS (SELECT doc_id, ordinal, whole, list_filter(string_split(trim(text), ', '), lambda x: x <> '' AND contains(text, x)) AS g FROM w WHERE whole <> ''),
 d AS (SELECT doc_id, ordinal, whole, list_transform(list_sort(list_transform(list_distinct(g), lambda x: {{'p': list_position(g, x), 'x': x}})), lambda y: y.x) AS g FROM a),
 e AS (SELECT doc_id, ordinal, whole, CASE WHEN list_contains(g, whole) THEN g ELSE list_append(g, whole) END AS g FROM d),
@@ -36,7 +38,7 @@ r AS (SELECT doc_id, ordinal, whole, generate_subscripts(g, 1) AS k, unnest(g) A
 SELECT doc_id, printf('V01C%06d', row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, k)) AS claim_id, printf('V01S%06d', ordinal) AS span_id, CAST(k AS INTEGER) AS ordinal, anchor, anchor = whole AS is_fallback FROM r""")
 def ver_claims(spark, sf):
     """VER2: anchors and exactly one fallback claim for each span."""
-    spans = segments.draft_spans(table(spark, sf, "documents")).where("ordinal in (2, 5)").withColumn("anchors", F.split(F.trim("text"), ", "))
+    spans = segments.draft_spans(table(spark, sf, "documents")).withColumn("anchors", F.split(F.trim("text"), ", "))
     return verify.claims(spans)
 
 
@@ -110,8 +112,7 @@ k AS (SELECT doc_id, grp, bool_and(ok) AS ok, string_agg(t, ' ' ORDER BY ord) AS
 SELECT doc_id, sha256(string_agg(piece, ' ' ORDER BY grp)) AS digest, count(*) AS sentences FROM k WHERE ok GROUP BY doc_id""")
 def ver_published(spark, sf):
     """VER13, VER14: only whole supported sentences are published; these documents have no paragraph breaks."""
-    docs = table(spark, sf, "documents").where("not contains(text, '\n\n')")
-    spans = segments.draft_spans(docs).withColumn("supported", (F.col("ordinal") - 1) % 4 != 1)
+    spans = segments.draft_spans(table(spark, sf, "documents")).withColumn("supported", (F.col("ordinal") - 1) % 4 != 1)
     return verify.published(spans).select("doc_id", F.sha2("text", 256).alias("digest"), "sentences")
 
 
@@ -166,11 +167,11 @@ def ver_ledger(spark, sf):
 
 
 @query("ver_support_hash", f"""
-WITH {SPANS} SELECT d.doc_id, CAST(ord + 1 AS INTEGER) AS ordinal, sha256(d.text["end" - CAST(length(sp.text) AS INTEGER) + 1 : "end"]) = sha256(sp.text) AS supported FROM sp JOIN documents d ON d.doc_id = sp.doc_id WHERE ord % 7 = 0""")
+WITH {SPANS} SELECT d.doc_id, CAST(ord + 1 AS INTEGER) AS ordinal, sha256(d.text["end" - CAST(length(sp.text) AS INTEGER) + 1 : "end"]) = sha256(sp.text) AS supported FROM sp JOIN documents d ON d.doc_id = sp.doc_id """)
 def ver_support_hash(spark, sf):
     """VER20: a published place is that of a checked span if its text has the same hash."""
     docs = table(spark, sf, "documents")
-    spans = segments.draft_spans(docs).where("(ordinal - 1) % 7 = 0").select("doc_id", "ordinal", "start", "end", "content_hash")
+    spans = segments.draft_spans(docs).select("doc_id", "ordinal", "start", "end", "content_hash")
     return spans.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "ordinal", (F.sha2(F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")), 256) == F.col("content_hash")).alias("supported"))
 
 
@@ -186,15 +187,15 @@ def ver_audit(spark, sf):
 
 
 @query("flt_lost", rf"""
-WITH {SPANS}, z AS (SELECT doc_id, ord, text || ' ' || (100 + doc_id % 7 * 10 + ord % 3) AS text FROM sp WHERE ord < 6),
-x AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(string_agg(text, ' ' ORDER BY ord), '\b[0-9]{{2,}}\b|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b'))) AS lit FROM z WHERE ord <> 1 AND ord <> 4 GROUP BY doc_id),
+WITH {SPANS}, z AS (SELECT doc_id, ord, text || ' ' || (100 + doc_id % 7 * 10 + ord % 3) AS text FROM sp),
+x AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(string_agg(text, ' ' ORDER BY ord), '\b[0-9]{{2,}}\b|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b'))) AS lit FROM z WHERE ord % 4 <> 1 GROUP BY doc_id),
 y AS (SELECT doc_id, ord, unnest(list_distinct(regexp_extract_all(text, '\b[0-9]{{2,}}\b|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b'))) AS lit FROM z)
 SELECT doc_id, CAST(ord AS INTEGER) AS ord, array_to_string(list_sort(list(lit)), ',') AS lost FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = y.doc_id AND x.lit = y.lit) GROUP BY doc_id, ord""")
 def flt_lost(spark, sf):
     """FLT9, VER15: source sentences whose numbers a shorter text has lost."""
-    s = segments.sentence_spans(table(spark, sf, "documents")).where("ord < 6")
+    s = segments.sentence_spans(table(spark, sf, "documents"))
     s = s.select("doc_id", "ord", F.concat("text", F.lit(" "), (100 + F.col("doc_id") % 7 * 10 + F.col("ord") % 3).cast("string")).alias("text"))
-    short = s.where("ord not in (1, 4)").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
+    short = s.where("ord % 4 <> 1").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
     return verify.lost_sentences(s, short).select("doc_id", "ord", F.array_join("lost", ",").alias("lost"))
 
 
