@@ -49,9 +49,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _STORED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the tables that this process has stored, once all results that read them are written; how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    gone = 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def arrow_map(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], Iterator[dict] | None]) -> DataFrame:
     """mapInArrow over slices of at most SLICE_BYTES of strings (or one row). work takes a slice and gives a dict of columns."""
     from pyspark.sql.types import _parse_datatype_string

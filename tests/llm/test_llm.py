@@ -579,6 +579,14 @@ def test_pseudonyms_of_odd_tables(spark, odd, empty):
     assert {r.found for r in got.collect()} == {"x"} and got.where("n_pii > 0").count() == 0 and not pseudonyms.pseudonymized(empty).count()
 
 
+def test_stored_tables_can_be_dropped(spark):
+    from scriptoria.llm import common
+
+    common.drop_stored(spark)
+    df = common.stored(spark.range(3), "t")
+    assert df.count() == 3 and common.drop_stored(spark) == 1 and common.drop_stored(spark) == 0
+
+
 # the pipeline
 
 
