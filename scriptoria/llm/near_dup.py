@@ -223,11 +223,15 @@ def classified(docs: DataFrame) -> DataFrame:
         held = common.stored(members.join(leaders, "bucket"), "buckets")
         if texts is None:
             texts = _texts(docs, sketched, held)
-        star = held.where("node <> leader")
-        if merged is not None:  # those that are together already needn't be compared
-            star = _apart(star, merged, "node", "leader")
-        links = _joined(links, verified(star.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), texts))
+        # first with the smallest leader of all buckets, then with the others from which a member still lies apart
+        nearest = held.groupBy("node").agg(F.min("leader").alias("leader")).where("node <> leader")
+        links = _joined(links, _compared(nearest if merged is None else _apart(nearest, merged, "node", "leader"), texts))
         merged = components(links)
+        others = held.where("node <> leader").select("node", "leader").distinct().join(nearest, ["node", "leader"], "left_anti")
+        found = common.stored(_compared(_apart(others, merged, "node", "leader"), texts), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            merged = components(links)
         named = held.select("bucket", "node").join(merged, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
         mixed = common.stored(named.join(spans, "bucket"), "mixed")
@@ -236,7 +240,7 @@ def classified(docs: DataFrame) -> DataFrame:
             break
     else:
         cross = mixed.alias("x").join(mixed.alias("y"), "bucket").where("x.node < y.node and x.component <> y.component")
-        links = _joined(links, verified(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), texts))
+        links = _joined(links, _compared(cross.select(F.col("x.node").alias("node"), F.col("y.node").alias("leader")).distinct(), texts))
         merged = components(links)
     classes = sketched.select("doc_id", "text_hash", "node").join(merged, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
     smallest = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
@@ -260,6 +264,10 @@ def _apart(pairs: DataFrame, merged: DataFrame, one: str, two: str) -> DataFrame
     return pairs.where(F.coalesce(f"{one}_component", one) != F.coalesce(f"{two}_component", two))
 
 
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    return verified(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")), texts)
+
+
 def _joined(links: DataFrame | None, found: DataFrame) -> DataFrame:
     found = common.stored(found, "links")
     return found if links is None else links.unionByName(found)
