@@ -220,3 +220,72 @@ def allowed_difference(anchor: Column, evidence: Column, strict_numbers: bool =
     by_number = F.lit(not strict_numbers) & number
     found = F.when(by_number & ~(F.lit(strict_names) & shortened), "rounded_number").when(~by_number & F.lit(not strict_names) & named, "shortened_name")
     return F.when(F.trim(evidence) != "", found)
+
+
+# A whole pass
+
+
+def passages(segments: DataFrame, most: int, key: str = "doc_id", least: int = 32) -> DataFrame:
+    """key, segment_id, source_id, ord, text: segments whose text is over `most` bytes are cut at half of it, at blanks where there are some; the pieces are numbered after the last segment."""
+    from scriptoria.operators.segments import Budget
+    from scriptoria.sources.arrow import flat_mapped
+
+    def rows(k, segment, order, text):
+        budget = Budget(text or "")
+        whole = budget.cost(0, len(text or "")) <= most
+        for n, (a, b) in enumerate([(0, len(text or ""))] if whole else budget.hard(0, len(text), max(least, most // 2))):
+            yield (k, segment, order, n, whole, text[a:b] if text else "")
+
+    kinds = dict(segments.dtypes)
+    parts = flat_mapped(segments.select(key, "segment_id", "ord", "text"), f"{key} {kinds[key]}, source_id string, source_ord {kinds['ord']}, part int, whole boolean, text string", rows)
+    extra = F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(Window.partitionBy(key).orderBy("source_ord", "part"))
+    last = F.max("source_ord").over(Window.partitionBy(key))
+    parts = parts.withColumn("ord", F.when(F.col("whole"), F.col("source_ord")).otherwise(last + extra))
+    return parts.select(key, F.when(F.col("whole"), F.col("source_id")).otherwise(F.format_string("S%06d", F.col("ord") + 1)).alias("segment_id"), "source_id", "ord", "text")
+
+
+def evidence_batches(rows: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
+    """key, claim_id, batch, segment_ids: all ranked passages of a claim, as many in a batch as the budget holds; the first batch is what a first look sees, the rest is what it omitted."""
+    from scriptoria.operators.segments import packs
+
+    found = rows.groupBy(key, "claim_id").agg(F.array_sort(F.collect_list(F.struct("rank", "segment_id", "cost"))).alias("p"))
+    found = found.withColumn("sizes", packs(F.transform("p", lambda p: p["cost"] + 1), F.lit(budget)))
+    batches = found.select(key, "claim_id", "p", F.posexplode("sizes").alias("batch", "n"))
+    first = F.sum("n").over(Window.partitionBy(key, "claim_id").orderBy("batch")).cast("int") - F.col("n")
+    return batches.withColumn("first", first).select(key, "claim_id", "batch", F.slice(F.col("p.segment_id"), F.col("first") + 1, F.col("n")).alias("segment_ids"))
+
+
+def validated(findings: DataFrame, segments: DataFrame, key: str = "doc_id") -> DataFrame:
+    """findings (key, claim_id, batch, verdict, segment_id, quote, chosen): a verdict whose evidence wasn't chosen, or whose quote isn't in it, becomes insufficient and loses its evidence."""
+    known = segments.select(key, "segment_id", F.col("text").alias("source"))
+    rows = findings.join(known, [key, "segment_id"], "left")
+    good = F.array_contains("chosen", F.col("segment_id")) & F.contains(T.straight_quotes(F.col("source")), T.straight_quotes(F.col("quote")))
+    good = F.coalesce(good, F.lit(False)) | F.col("verdict").isin(VERDICTS[2], VERDICTS[3])
+    cited = good & ~F.col("verdict").isin(VERDICTS[2], VERDICTS[3])
+    return rows.select(key, "claim_id", "batch", F.when(good, F.col("verdict")).otherwise(VERDICTS[2]).alias("verdict"), F.when(cited, F.col("segment_id")).alias("segment_id"), F.when(cited, F.col("quote")).alias("quote"), (~good).alias("downgraded"))
+
+
+def verified(claim_rows: DataFrame, segments: DataFrame, budget: int, key: str = "doc_id", strict_numbers: bool = False, strict_names: bool = False) -> DataFrame:
+    """key, claim_id, verdict, reason, tolerance of claims (key, claim_id, anchor) by the deterministic classifier.
+
+    All evidence is examined batch by batch, so retrieval is complete; a claim that stays unsupported gets a second look
+    where a passage differs from it only in what is allowed."""
+    ranked_rows = ranked(claim_rows, segments, key)
+    batches = evidence_batches(ranked_rows, budget, key).select(key, "claim_id", "batch", F.explode("segment_ids").alias("segment_id"))
+    seen = batches.join(segments.select(key, "segment_id", "text"), [key, "segment_id"]).join(claim_rows.select(key, "claim_id", "anchor"), [key, "claim_id"])
+    found = classified(seen, [key, "claim_id", "batch"]).withColumn("complete", F.lit(True))
+    verdicts = reduced(found, [key, "claim_id"])
+    lenient = seen.withColumn("tolerance", allowed_difference(F.col("anchor"), F.col("text"), strict_numbers, strict_names)).groupBy(key, "claim_id").agg(F.max("tolerance").alias("tolerance"))
+    rows = verdicts.join(lenient, [key, "claim_id"])
+    second = (F.col("verdict") == VERDICTS[2]) & F.col("reason").isNull() & F.col("tolerance").isNotNull()
+    return rows.select(key, "claim_id", F.when(second, VERDICTS[0]).otherwise(F.col("verdict")).alias("verdict"), "reason", F.when(second, F.col("tolerance")).alias("tolerance"))
+
+
+def assembled(sections: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(documents, places) of sections (key, ord, heading, text): headings and texts with blank lines between, and where each section begins."""
+    piece = F.array_join(F.array_compact(F.array(F.col("heading"), F.nullif(F.col("text"), F.lit("")))), "\n\n")
+    rows = sections.withColumn("piece", piece).where("piece <> ''")
+    before = F.sum(F.length("piece") + 2).over(Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    places = rows.select(key, "ord", F.coalesce(before, F.lit(0)).cast("int").alias("start"), F.length("piece").alias("length"))
+    docs = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "\n\n").alias("text"), F.count("*").alias("sections"))
+    return docs, places

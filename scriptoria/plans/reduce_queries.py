@@ -166,3 +166,36 @@ def ma_delays(spark, sf):
     """MA7: waits before further attempts, at most."""
     d = N.retry_delays(5, 0.5, 30.0)
     return table(spark, sf, "events").select("event_id", F.aggregate(F.slice(d, F.lit(1), (F.col("event_id") % 5 + 1).cast("int")), F.lit(0.0), lambda a, b: a + b).alias("wait"))
+
+
+@query("seg_compression", rf"""
+WITH RECURSIVE s AS (SELECT doc_id, list_filter(list_transform({SENTENCES}, lambda s: trim(regexp_replace(s, '\s+$', ''))), lambda s: s <> '') AS p FROM documents),
+g AS (SELECT doc_id, p, 1 AS i, 0 AS ord, ' ' || p[1] AS now FROM s WHERE len(p) > 0
+      UNION ALL
+      SELECT doc_id, p, i + 1, CASE WHEN length(now) + length(p[i + 1]) > 1000 THEN ord + 1 ELSE ord END, CASE WHEN length(now) + length(p[i + 1]) > 1000 THEN p[i + 1] ELSE now || ' ' || p[i + 1] END FROM g WHERE i < len(p)),
+c AS (SELECT doc_id, ord, arg_max(now, i) AS chunk FROM g GROUP BY doc_id, ord)
+SELECT doc_id, count(*) FILTER (length(chunk) <= 1000) AS whole, CAST(sum(length(chunk)) FILTER (length(chunk) <= 1000) AS BIGINT) AS whole_chars FROM c GROUP BY doc_id HAVING count(*) > 0""")
+def seg_compression(spark, sf):
+    """SEG15: chunks for shortening; a chunk that is too long is cut between words."""
+    from scriptoria.operators.segments import sentence_starts
+    from scriptoria.sources.arrow import flat_mapped
+
+    def rows(doc, text):
+        starts = sentence_starts(text) if text else []
+        parts = [p for a, b in zip(starts, [*starts[1:], len(text or "")], strict=True) if (p := text[a:b].strip())]
+        for i, (gap, chunk, split) in enumerate(records.compression_chunks(text, parts)):
+            yield (doc, i, gap, chunk, split)
+
+    chunks = flat_mapped(table(spark, sf, "documents").select("doc_id", "text"), "doc_id long, ord int, gap string, chunk string, split boolean", rows)
+    return chunks.groupBy("doc_id").agg(F.count_if(~F.col("split")).alias("whole"), F.sum(F.when(~F.col("split"), F.length("chunk"))).alias("whole_chars"))
+
+
+@query("win_layout", """
+WITH r AS (SELECT doc_id, i, CAST(20 + i * 7 % 5 AS BIGINT) AS height FROM (SELECT doc_id, unnest(range(CAST(0 AS BIGINT), n_chars // 100 + 1)) AS i FROM documents))
+SELECT doc_id, i, CAST(coalesce(sum(height) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top FROM r""")
+def win_layout(spark, sf):
+    """WIN16: where each row of a text begins in a view, from the heights of the rows above."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 100))).alias("i")).withColumn("height", 20 + F.col("i") * 7 % 5)
+    return rows.select("doc_id", "i", F.coalesce(F.sum("height").over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("top"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.plans.registry import query, table
-from scriptoria.plans.text_queries import sql_words
+from scriptoria.plans.text_queries import sql_normalized, sql_words
 from scriptoria.sources import blocks, detect, markup, packages, subtitles
 
 
@@ -217,3 +217,69 @@ def ing_layout(spark, sf):
     placed = lines.select("doc_id", page.alias("page"), (F.col("i") % 12 + 1).alias("line_no"), F.when(big, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"), F.when(big, 16.0).otherwise(10.0).alias("size"), big.alias("bold"), (700.0 - (F.col("i") % 12) * 14 - F.floor(F.col("i") % 12 / 6) * 30).alias("y"))
     heads = placed.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("line_no"), F.concat(F.lit("Running Head "), F.col("page").cast("string")).alias("text"), F.lit(16.0).alias("size"), F.lit(True).alias("bold"), F.lit(760.0).alias("y"))
     return layout.headings(placed.unionByName(heads))
+
+
+@query("src_plain", rf"""
+WITH d AS (SELECT doc_id, '# Title ' || doc_id || chr(10) || chr(10) || {sql_normalized("text")} AS t FROM documents)
+SELECT doc_id, CAST(0 AS INTEGER) AS start, 'Title ' || doc_id AS title, CAST(1 AS INTEGER) AS level FROM d""")
+def src_plain(spark, sf):
+    """SRC7: Markdown with its headings as an outline."""
+    from scriptoria.sources import pages
+
+    t = F.concat(F.lit("\n# Title "), F.col("doc_id").cast("string"), F.lit(" ##\n\n"), F.col("text"), F.lit("\n"))
+    return pages.plain_documents(table(spark, sf, "documents").select("doc_id", t.alias("text")), "doc_id")[1]
+
+
+def _packed(spark, sf, kind: str):
+    """Documents as files of a format: a heading and a paragraph a line."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    from scriptoria.sources.arrow import flat_mapped
+
+    def rows(doc, text):
+        lines = ["".join(c for c in x if c >= " ") for x in (text or "").split("\n")]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            if kind == "docx":
+                w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+                body = "".join(f"<w:p>{'<w:pPr><w:pStyle w:val=$Heading1$/></w:pPr>'.replace('$', chr(34)) * (i == 0)}<w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for i, x in enumerate(lines))
+                z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+            elif kind == "odt":
+                ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
+                z.writestr("mimetype", "application/vnd.oasis.opendocument.text")
+                z.writestr("content.xml", f"<office:document-content {ns}><office:body><office:text>" + "".join(f"<text:{'ph'[i == 0]}>{escape(x)}</text:{'ph'[i == 0]}>" for i, x in enumerate(lines)) + "</office:text></office:body></office:document-content>")
+            else:
+                z.writestr("mimetype", "application/epub+zip")
+                z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="b.opf"/></rootfiles></container>')
+                z.writestr("b.opf", '<package xmlns="http://www.idpf.org/2007/opf"><manifest><item id="a" href="a.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="a"/></spine></package>')
+                z.writestr("a.xhtml", "<html><body>" + "".join(f"<{('p', 'h1')[i == 0]}>{escape(x)}</{('p', 'h1')[i == 0]}>" for i, x in enumerate(lines)) + "</body></html>")
+        yield (f"d{doc}", out.getvalue())
+
+    files = flat_mapped(table(spark, sf, "documents").select("doc_id", "text"), "path string, content binary", rows)
+    found = packages.blocks_of(files, kind).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("block_no", "text", "kind"))).alias("b"))
+    return found.select("path", F.array_join(F.transform("b", lambda b: b["text"]), "\n").alias("text"), F.size(F.filter("b", lambda b: b["kind"] == "heading")).alias("headings"))
+
+
+_PACKED_SQL = rf"""
+WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: array_to_string({sql_words("x")}, ' ')) AS x FROM documents)
+SELECT 'd' || doc_id AS path, array_to_string(list_filter(x, lambda y: y <> ''), chr(10)) AS text, CAST(x[1] <> '' AS INTEGER) AS headings FROM l WHERE len(list_filter(x, lambda y: y <> '')) > 0"""
+
+
+@query("src_docx", _PACKED_SQL)
+def src_docx(spark, sf):
+    """SRC13: word-processor files."""
+    return _packed(spark, sf, "docx")
+
+
+@query("src_odt", _PACKED_SQL)
+def src_odt(spark, sf):
+    """SRC14: open documents."""
+    return _packed(spark, sf, "odt")
+
+
+@query("src_epub", _PACKED_SQL)
+def src_epub(spark, sf):
+    """SRC15: books."""
+    return _packed(spark, sf, "epub")

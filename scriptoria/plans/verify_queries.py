@@ -230,3 +230,52 @@ def tok_vocabulary(spark, sf):
     except ImportError:
         name, path = "utf8", None
     return counters.counted(table(spark, sf, "benchmark"), "item_id", "text", name, path)
+
+
+@query("ver_passages", """
+SELECT doc_id, CAST(sum(strlen(text)) AS BIGINT) AS bytes, true AS fits FROM documents GROUP BY doc_id""")
+def ver_passages(spark, sf):
+    """VER5: long cores cut into passages; together they are the whole text, and each fits."""
+    whole = table(spark, sf, "documents").select("doc_id", F.lit("S000001").alias("segment_id"), F.lit(0).alias("ord"), "text")
+    parts = verify.passages(whole, 1200)
+    return parts.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.bool_and(F.octet_length("text") <= 1200).alias("fits"))
+
+
+@query("ver_classified", r"""
+WITH p AS (SELECT item_id, text AS anchor, CASE item_id % 3 WHEN 0 THEN text || ' and more' WHEN 1 THEN left(text, 40) ELSE '' END AS passage FROM benchmark),
+t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(anchor), '[\p{L}\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(passage), '[\p{L}\p{N}]+')) AS b FROM p)
+SELECT item_id, CASE WHEN list_has_all(b, a) THEN 'supported' ELSE 'insufficiently_supported' END AS verdict, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(a) AS share FROM t""")
+def ver_classified(spark, sf):
+    """VER6: the deterministic classifier."""
+    n, t = F.col("item_id") % 3, F.col("text")
+    passage = F.when(n == 0, F.concat(t, F.lit(" and more"))).when(n == 1, F.substring(t, 1, 40)).otherwise("")
+    return verify.classified(table(spark, sf, "benchmark").select("item_id", t.alias("anchor"), passage.alias("text")), ["item_id"])
+
+
+@query("ver_findings", """
+WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' WHEN 2 THEN 'supported' ELSE 'not_meaningfully_verifiable' END AS v, doc_id % 4 < 2 AS good FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'insufficiently_supported' ELSE v END AS verdict, CASE WHEN good THEN 'S000001' END AS segment_id, doc_id % 4 = 2 AS downgraded FROM f""")
+def ver_findings(spark, sf):
+    """VER7: findings whose evidence doesn't hold are downgraded; curly quotation marks don't matter."""
+    docs, n = table(spark, sf, "documents"), F.col("doc_id") % 4
+    passages = docs.select("doc_id", F.lit("S000001").alias("segment_id"), F.concat(F.lit("He said “no” — "), F.col("text")).alias("text"))
+    quote = F.when(n == 0, 'said "no" -').when(n == 1, F.substring("text", 1, 30)).when(n == 2, "never written").otherwise("")
+    rows = docs.select("doc_id", F.lit("V01C000001").alias("claim_id"), F.lit(0).alias("batch"), F.when(n == 1, verify.VERDICTS[1]).when(n == 3, verify.VERDICTS[3]).otherwise(verify.VERDICTS[0]).alias("verdict"), F.lit("S000001").alias("segment_id"), quote.alias("quote"), F.array(F.lit("S000001")).alias("chosen"))
+    return verify.validated(rows, passages).select("doc_id", "verdict", "segment_id", "downgraded")
+
+
+@query("ver_pass")
+def ver_pass(spark, sf):
+    """VER8 to VER10, AGG12, FLT5: verdicts of the benchmark's items against their documents, over all evidence, with a second look."""
+    return verify.verified(_claims(spark, sf), _segments(spark, sf), 2000)
+
+
+@query("ver_assembled", """
+WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Part ' || turn END AS h, coalesce(text, '') AS t FROM conversations),
+p AS (SELECT conv_id, turn, CASE WHEN h IS NOT NULL AND t <> '' THEN h || chr(10) || chr(10) || t ELSE coalesce(h, t) END AS piece FROM s)
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, CAST(coalesce(sum(length(piece) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, CAST(length(piece) AS INTEGER) AS length FROM p WHERE piece <> ''""")
+def ver_assembled(spark, sf):
+    """VER19, AGG20: sections in order, and where each begins."""
+    t = table(spark, sf, "conversations")
+    sections = t.select("conv_id", F.col("turn").alias("ord"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Part "), F.col("turn").cast("string"))).alias("heading"), F.coalesce("text", F.lit("")).alias("text"))
+    return verify.assembled(sections, "conv_id")[1].withColumnRenamed("ord", "turn")

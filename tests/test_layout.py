@@ -51,3 +51,41 @@ def test_counters():
             found = segments.segment(text, 9, 3, count=counter)
             assert found[0][1] == 0 and found[-1][2] == len(text) and all(a[2] == b[1] for a, b in zip(found, found[1:], strict=False))
             assert all(counter.count(text[s:e]) <= 9 for _, s, e, *_ in found)
+
+
+def test_settings_and_schemas():
+    import pytest
+
+    from scriptoria.functions import config
+
+    assert config.RunConfig(segment_tokens=100, overlap_tokens=10).strategy == "auto"
+    for bad in ({"target_words": 0}, {"strategy": "x"}, {"merge_ceiling": 1}, {"segment_tokens": 5, "overlap_tokens": 5}, {"margin_share": 1.0}, {"context_window": 0}):
+        with pytest.raises(ValueError):
+            config.RunConfig(**bad)
+    schema = {"properties": {"level": {"type": "integer"}, "units": {"items": {"properties": {"segment_id": {"type": "string"}}}}}}
+    got = config.narrowed(schema, segment_ids=["S000001"], level=2)
+    assert got["properties"]["level"]["const"] == 2 and got["properties"]["units"]["items"]["properties"]["segment_id"]["enum"] == ["S000001"] and "const" not in schema["properties"]["level"]
+
+
+def test_page_readers(spark):
+    from scriptoria.sources import pages
+
+    class Halves:
+        def pages(self, data):
+            text = data.decode()
+            return iter([text[: len(text) // 2], text[len(text) // 2 :]])
+
+    files = spark.createDataFrame([("a", bytearray(b"ab")), ("b", None)], "path string, content binary")
+    layer = pages.pages_of(files, Halves)
+    assert sorted(map(tuple, layer.collect())) == [("a", 1, "a"), ("a", 2, "b"), ("b", 1, ""), ("b", 2, "")]
+    ocr = spark.createDataFrame([("a", 2, "longer text"), ("b", 1, "found")], "path string, page int, text string")
+    assert sorted(map(tuple, pages.merged(layer, ocr).collect())) == [("a", 1, "a", False), ("a", 2, "longer text", True), ("b", 1, "found", True), ("b", 2, "", False)]
+
+
+def test_verified_claims_get_a_second_look(spark):
+    from scriptoria.operators import verify
+
+    passages = spark.createDataFrame([(1, "S000001", 0, "The town had 104 people."), (1, "S000002", 1, "Ada Lovelace wrote the notes.")], "doc_id long, segment_id string, ord int, text string")
+    claims = spark.createDataFrame([(1, "c1", "About 100 people, the town had"), (1, "c2", "The town had 104 people"), (1, "c3", "Lovelace wrote poems"), (1, "c4", "...")], "doc_id long, claim_id string, anchor string")
+    got = {r.claim_id: (r.verdict, r.tolerance) for r in verify.verified(claims, passages, 60).collect()}
+    assert got == {"c1": ("supported", "rounded_number"), "c2": ("supported", None), "c3": ("insufficiently_supported", None), "c4": ("not_meaningfully_verifiable", None)}
