@@ -243,7 +243,8 @@ def classified(docs: DataFrame) -> DataFrame:
         links = _joined(links, _compared(cross.select(F.col("x.node").alias("node"), F.col("y.node").alias("leader")).distinct(), texts))
         merged = components(links)
     classes = sketched.select("doc_id", "text_hash", "node").join(merged, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
-    smallest = classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"))
+    # stored, so that a large class's rows can be split over several tasks of the join
+    smallest = common.stored(classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies")), "classes")
     return classes.join(smallest, "component").select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("class_hash"), "copies")
 
 
