@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps over tables in the shared folder."""
+"""Connected components by label propagation over tables in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from scriptoria.llm import common
 
+#: Rounds of plain propagation, enough for stars and for stars of stars; longer chains are then halved by jumps.
+PLAIN_ROUNDS = 4
+
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) to (node, component), the smallest node that is reached; nodes without links have no row.
 
-    Each round hooks every node to the smallest label among its own and its neighbours' and jumps to that
-    label's label, until no label changes: about the logarithm of the longest chain in rounds. A node's
-    messages are combined before they are shuffled, so that a hot node isn't one task's work."""
+    Each round gives every node the smallest label among its own and its neighbours'. If labels still change after
+    PLAIN_ROUNDS, a round also tells each label's own node of the smaller labels met and jumps to the label's label,
+    so that rounds are about the logarithm of the longest chain. A node's messages are combined before they are
+    shuffled, so that a hot node isn't one task's work."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = common.stored(both.where("a <> b").distinct(), "edges")
-    labels = common.stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
-    while True:
-        sent = edges.join(labels, edges.b == labels.node).select(edges.a.alias("node"), labels.component)
-        hooked = sent.union(labels).groupBy("node").agg(F.min("component").alias("component"))
-        # a root also learns of the smaller labels that its members have heard of
-        told = labels.withColumnRenamed("component", "root").join(hooked, "node").select(F.col("root").alias("node"), "component")
-        fresh = hooked.union(told).groupBy("node").agg(F.min("component").alias("component"))
-        jump = fresh.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        fresh = common.stored(fresh.join(jump, "component").select("node", F.col("further").alias("component")), "labels")
-        changed = fresh.join(labels.withColumnRenamed("component", "was"), "node").where("component <> was")
-        if changed.isEmpty():
-            return fresh
-        labels = fresh
+    labels = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node")
+    labels = common.stored(labels.withColumn("moved", F.lit(True)), "labels")
+    number = 0
+    while not labels.where("moved").isEmpty():
+        number += 1
+        # only labels that moved are news
+        news = labels.where("moved").select(F.col("node").alias("b"), "component")
+        heard = edges.join(news, "b").groupBy("a").agg(F.min("component").alias("heard")).withColumnRenamed("a", "node")
+        fresh = labels.join(heard, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("component"))
+        if number > PLAIN_ROUNDS:
+            told = fresh.groupBy(F.col("was").alias("node")).agg(F.min("component").alias("told"))
+            fresh = fresh.join(told, "node", "left").select("node", "was", F.least("component", "told").alias("component"))
+            jump = fresh.select(F.col("node").alias("component"), F.col("component").alias("further"))
+            fresh = fresh.join(jump, "component").select("node", "was", F.col("further").alias("component"))
+        labels = common.stored(fresh.select("node", "component", (F.col("component") != F.col("was")).alias("moved")), "labels")
+    return labels.select("node", "component")

@@ -10,8 +10,8 @@ shingles.
 
 No group is expanded into pairs: in each bucket all members are compared with one leader. Members of buckets that
 still lie in several components (a common passage brings texts together that aren't alike) go to a finer level with
-more shingles in a band and more bands, whose guarantee is as high; only what its buckets leave apart, which is
-little, is compared across components. Documents of equal words are one node.
+more shingles in a band and more bands, whose guarantee is as high, and where texts that aren't alike hardly meet.
+Documents of equal words are one node.
 
 Edge cases: null text is empty; documents without words are equal only if their bytes are; documents of fewer
 than five words have one shingle of all words; rows that share a doc_id are judged each by its text."""
@@ -31,8 +31,8 @@ from scriptoria.llm.words import U, Words, grams, join_hash, mix
 
 K, ELEMS, SIMILAR = 5, 2, 0.8
 #: (rows of a band, bands). At shingle similarity s a band agrees with about s ** (ELEMS * rows): a miss at 0.8 of less
-#: than 1e-9 and of 1e-4; at 0.6, which three edits in a hundred words leave, of 4e-3 on the first level.
-LEVELS = ((2, 40), (5, 80))
+#: than 1e-9, of 1e-4 and of 7e-4; at 0.6, which three edits in a hundred words leave, of 4e-3 on the first level.
+LEVELS = ((2, 40), (5, 80), (8, 256))
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -223,25 +223,21 @@ def classified(docs: DataFrame) -> DataFrame:
         held = common.stored(members.join(leaders, "bucket"), "buckets")
         if texts is None:
             texts = _texts(docs, sketched, held)
-        # first with the smallest leader of all buckets, then with the others from which a member still lies apart
-        nearest = held.groupBy("node").agg(F.min("leader").alias("leader")).where("node <> leader")
-        links = _joined(links, _compared(nearest if merged is None else _apart(nearest, merged, "node", "leader"), texts))
-        merged = components(links)
-        others = held.where("node <> leader").select("node", "leader").distinct().join(nearest, ["node", "leader"], "left_anti")
-        found = common.stored(_compared(_apart(others, merged, "node", "leader"), texts), "links")
+        star = held.where("node <> leader").select("node", "leader").distinct()
+        if not level:  # most are like the smallest leader of all their buckets; with the others only those that still lie apart are compared
+            nearest = star.groupBy("node").agg(F.min("leader").alias("leader"))
+            links = common.stored(_compared(nearest, texts), "links")
+            merged = components(links)
+            star = star.join(nearest, ["node", "leader"], "left_anti")
+        found = common.stored(_compared(_apart(star, merged, "node", "leader"), texts), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
             merged = components(links)
         named = held.select("bucket", "node").join(merged, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
         spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        mixed = common.stored(named.join(spans, "bucket"), "mixed")
-        apart = mixed.select("node").distinct()
-        if mixed.isEmpty():
+        apart = common.stored(named.join(spans, "bucket").select("node").distinct(), "apart")
+        if apart.isEmpty():
             break
-    else:
-        cross = mixed.alias("x").join(mixed.alias("y"), "bucket").where("x.node < y.node and x.component <> y.component")
-        links = _joined(links, _compared(cross.select(F.col("x.node").alias("node"), F.col("y.node").alias("leader")).distinct(), texts))
-        merged = components(links)
     classes = sketched.select("doc_id", "text_hash", "node").join(merged, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
     # stored, so that a large class's rows can be split over several tasks of the join
     smallest = common.stored(classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies")), "classes")
@@ -269,11 +265,6 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return verified(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b")), texts)
 
 
-def _joined(links: DataFrame | None, found: DataFrame) -> DataFrame:
-    found = common.stored(found, "links")
-    return found if links is None else links.unionByName(found)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
