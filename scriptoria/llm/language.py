@@ -127,12 +127,13 @@ def held_out():
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """Learns from `sample` windows at most, of labelled documents that aren't held out."""
-    known = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out())
-    order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    text = F.col("text").cast("string")
-    begin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - WINDOW + 1, F.lit(1)))
-    cut = known.select("lang", order.alias("o"), "doc_id", F.substring(text, (begin + 1).cast("int"), F.lit(WINDOW)).alias("text"))
-    rows = cut.orderBy("o", "doc_id").limit(sample).select("lang", "text").collect()
+    known = docs.where("lang is not null and doc_id is not null").where(~held_out())
+    order = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("doc_id")), 1)  # even over 63 bits
+    # tasks would each send `sample` rows; so only about twice the sample's least hashes are looked at
+    share = min(1.0, 2 * sample / max(1, known.select("doc_id").count()))
+    rows = _least(known, order, order <= F.lit((int(share * (1 << 53)) << 10) - 1), sample)
+    if share < 1 and len(rows) < sample:  # many texts are null
+        rows = _least(known, order, F.lit(True), sample)
     if not rows:
         return None
     labels = sorted({r["lang"] for r in rows})
@@ -142,6 +143,14 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     return net
 
 
+def _least(known: DataFrame, order, few, sample: int) -> list:
+    """lang and one window of each of the `sample` documents of least order."""
+    text = F.col("text").cast("string")
+    begin = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length(text) - WINDOW + 1, F.lit(1)))
+    cut = known.where(few & F.col("text").isNotNull()).select("lang", order.alias("o"), "doc_id", F.substring(text, (begin + 1).cast("int"), F.lit(WINDOW)).alias("text"))
+    return cut.orderBy("o", "doc_id", "lang", "text").limit(sample).select("lang", "text").collect()
+
+
 def identified(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with text gets lang_pred and score; other columns stay."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
