@@ -10,8 +10,9 @@ shingles.
 
 No group is expanded into pairs: in each bucket all members are compared with one leader. Members of buckets that
 still lie in several components (a common passage brings texts together that aren't alike) go to a finer level with
-more shingles in a band and more bands, whose guarantee is as high, and where texts that aren't alike hardly meet.
-Documents of equal words are one node.
+more shingles in a band and more bands, whose guarantee is nearly as high, and where texts that aren't alike hardly
+meet. In the buckets that the last level leaves mixed, rounds go on with the next members as leaders until no two
+members of different components are left uncompared. Documents of equal words are one node.
 
 Edge cases: null text is empty; documents without words are equal only if their bytes are; documents of fewer
 than five words have one shingle of all words; rows that share a doc_id are judged each by its text."""
@@ -22,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm import common
@@ -33,6 +34,8 @@ K, ELEMS, SIMILAR = 5, 2, 0.8
 #: (rows of a band, bands). At shingle similarity s a band agrees with about s ** (ELEMS * rows): a miss at 0.8 of less
 #: than 1e-9, of 1e-4 and of 7e-4; at 0.6, which three edits in a hundred words leave, of 4e-3 on the first level.
 LEVELS = ((2, 40), (5, 80), (8, 256))
+#: How the number of leaders a bucket grows from round to round where the last level leaves texts apart; cuts rounds only.
+GROW = 4
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -238,12 +241,38 @@ def classified(docs: DataFrame) -> DataFrame:
         apart = common.stored(named.join(spans, "bucket").select("node").distinct(), "apart")
         if apart.isEmpty():
             break
+    else:
+        merged = _resolved(held.join(spans, "bucket").select("bucket", "node"), links, merged, texts)
     classes = sketched.select("doc_id", "text_hash", "node").join(merged, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
     # stored, so that a large class's rows can be split over several tasks of the join
     smallest = common.stored(classes.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies")), "classes")
     return classes.join(smallest, "component").select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("first.text_hash").alias("class_hash"), "copies")
 
 
+def _resolved(held: DataFrame, links: DataFrame, merged: DataFrame, texts: DataFrame) -> DataFrame:
+    """Components once any two members of a bucket are compared or in one component. The first leaders are compared
+    already; each round compares the next members, GROW times as many as before, with all that follow them."""
+    order = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    ranked, tried, done, many = common.stored(held.withColumn("rank", order), "ranked"), None, 1, GROW
+    while True:
+        named = ranked.where(F.col("rank") > done).join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        spans = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        named = common.stored(named.join(spans, "bucket").select("bucket", "node", "rank", "component"), "mixed")
+        if named.isEmpty():
+            return merged
+        lead = named.where(F.col("rank") <= done + many).select("bucket", F.col("node").alias("leader"), F.col("rank").alias("lead_rank"), F.col("component").alias("lead_component"))
+        pairs = named.join(lead, "bucket").where("rank > lead_rank and component <> lead_component").select("node", "leader").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["node", "leader"], "left_anti")
+        pairs = common.stored(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = common.stored(_compared(pairs, texts), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            merged = components(links)
+        done, many = done + many, many * GROW
+
+
 def _texts(docs: DataFrame, sketched: DataFrame, held: DataFrame) -> DataFrame:
     """node, text of the nodes in buckets, from one document of each."""
     first = sketched.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("own"))

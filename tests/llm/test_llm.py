@@ -285,6 +285,16 @@ def test_mixed_buckets_go_to_the_finer_level(spark, monkeypatch):
     between(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
 
 
+def test_pairs_led_by_a_third_text_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LEVELS", ((1, 3),))
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(180)]
+    rows = [(i, " ".join(template + [f"w{rng.randrange(10**6)}" for _ in range(60)])) for i in range(400)]
+    rows += [(5000 + i, rows[i][1] + f" end {i}") for i in range(0, 400, 5)]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 5000 * (i >= 5000) for i, _ in rows}
+
+
 def test_near_duplicates_of_odd_tables(spark, odd, empty):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
