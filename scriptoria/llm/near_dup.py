@@ -2,11 +2,9 @@
 
 Each sketch keeps the ELEMS smallest occurrence-labelled shingles under one hash, in text order, so that it
 is sensitive to edits and moves. ROWS sketches make a band; documents that share a band are candidates.
-Similarity: with L the longest common subsequence of two texts' words by a banded bit-parallel alignment and n, m their
-numbers, L / max(n, m) >= 0.8; or, so that repeated lines weigh once, L / (n + m - L) >= 0.8 of the sequences of their
-different shingles, which is the shingles' Jaccard similarity for texts in one order. Whatever is alike by shingles
-becomes a candidate (see LEVELS); texts that are alike by words alone mostly do, as edits five or more words apart leave
-shingles.
+Similarity: with L the longest common subsequence of two texts' different shingles, in the order of their first
+occurrences, by a banded bit-parallel alignment, and n, m their numbers, L / (n + m - L) >= 0.8; for texts in one order
+this is the shingles' Jaccard similarity, and repeated lines weigh once.
 
 No group is expanded into pairs: in each bucket all members are compared with one leader. Members of buckets that
 still lie in several components (a common passage brings texts together that aren't alike) go to a finer level with
@@ -32,7 +30,7 @@ from scriptoria.llm.words import U, Words, grams, join_hash, mix
 
 K, ELEMS, SIMILAR = 5, 2, 0.8
 #: (rows of a band, bands). At shingle similarity s a band agrees with about s ** (ELEMS * rows): a miss at 0.8 of less
-#: than 1e-9, of 1e-4 and of 7e-4; at 0.6, which three edits in a hundred words leave, of 4e-3 on the first level.
+#: than 1e-9, of 1e-4 and of 7e-4.
 LEVELS = ((2, 40), (5, 80), (8, 256))
 #: How the number of leaders a bucket grows from round to round where the last level leaves texts apart; cuts rounds only.
 GROW = 4
@@ -180,11 +178,9 @@ def aligned(a: np.ndarray, b: np.ndarray, need: int) -> bool:
         half = min(most, half * 4)
 
 
-def similar(words_a: np.ndarray, words_b: np.ndarray, shingles_a: np.ndarray, shingles_b: np.ndarray) -> bool:
-    """Whether two texts are alike by their words in order, or by their different shingles in order."""
-    if aligned(words_a, words_b, -(-4 * max(len(words_a), len(words_b)) // 5)):
-        return True
-    a, b = (x[np.sort(np.unique(x, return_index=True)[1])] for x in (shingles_a, shingles_b))
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two texts are alike by their different shingles in order: L / (n + m - L) >= 0.8, that is 9 L >= 4 (n + m)."""
+    a, b = (x[np.sort(np.unique(x, return_index=True)[1])] for x in (a, b))
     return aligned(a, b, -(-4 * (len(a) + len(b)) // 9))
 
 
@@ -192,9 +188,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those (a, b) of two nodes whose texts are alike."""
 
     def work(batch):
-        one, two = Words(batch.column("text_a")), Words(batch.column("text_b"))
-        (x, fx), (y, fy) = shingles(one), shingles(two)
-        good = [similar(one.hashes[one.first[i] : one.first[i + 1]], two.hashes[two.first[i] : two.first[i + 1]], x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]) for i in range(batch.num_rows)]
+        (x, fx), (y, fy) = (shingles(Words(batch.column(c))) for c in ("text_a", "text_b"))
+        good = [similar(x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]) for i in range(batch.num_rows)]
         keep = np.flatnonzero(good)
         return {"a": batch.column("a").take(pa.array(keep)), "b": batch.column("b").take(pa.array(keep))}
 

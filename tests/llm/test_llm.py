@@ -295,6 +295,16 @@ def test_pairs_led_by_a_third_text_are_found(spark, monkeypatch):
     assert got == {i: i - 5000 * (i >= 5000) for i, _ in rows}
 
 
+def test_texts_alike_by_words_only_stay_apart(spark):
+    words = [f"w{i}" for i in range(400)]
+    edited = [f"e{i}" if i % 20 == 10 else w for i, w in enumerate(words)]  # shingle similarity 0.6
+    block = words[:360] + [f"b{i}" for i in range(80)]  # 0.69
+    once = [*words[:200], "new", *words[201:]]
+    rows = [(i, " ".join(x)) for i, x in enumerate((words, edited, block, once))]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
 def test_near_duplicates_of_odd_tables(spark, odd, empty):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
