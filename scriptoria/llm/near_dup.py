@@ -1,7 +1,7 @@
 """Near duplicates by Order MinHash over five-word shingles, checked by banded alignment.
 
-Each sketch keeps the ELEMS smallest occurrence-labelled shingles under one hash, in text order, so that it
-is sensitive to edits and moves. ROWS sketches make a band; documents that share a band are candidates.
+Each sketch keeps the ELEMS smallest of a text's different shingles under one hash, in the order of their first
+occurrences, so that it is sensitive to edits and moves, and to repeated lines as little as the rule is. ROWS sketches make a band; documents that share a band are candidates.
 Similarity: with L the longest common subsequence of two texts' different shingles, in the order of their first
 occurrences, by a banded bit-parallel alignment, and n, m their numbers, L / (n + m - L) >= 0.8; for texts in one order
 this is the shingles' Jaccard similarity, and repeated lines weigh once.
@@ -48,22 +48,21 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), out
 
 
-def labelled(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Shingles with the number of their occurrence within the row."""
+def different(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's different shingles in the order of their first occurrences, and the rows' offsets into them."""
     if not len(h):
-        return h
-    rows = np.repeat(np.arange(len(first) - 1, dtype=U), np.diff(first))
-    key = mix(h + rows * U(0x9E3779B97F4A7C15))
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    rank = np.empty(len(h), U)
-    rank[order] = np.arange(len(h)) - np.repeat(same, np.diff(np.r_[same, len(h)]))
-    return mix(h + rank * U(0xA24BAED4963EE407))
+        return h, first
+    rows = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, rows))  # stable: a shingle's first occurrence comes first
+    new = np.r_[True, (h[order][1:] != h[order][:-1]) | (rows[order][1:] != rows[order][:-1])]
+    keep = np.sort(order[new])
+    return h[keep], np.searchsorted(keep, first)
 
 
 def sketches(h: np.ndarray, first: np.ndarray, rows: int, bands: int, seed: int) -> np.ndarray:
     """(documents, bands) of band hashes; documents without shingles must not be given."""
-    x, starts, n = labelled(h, first), first[:-1], np.diff(first)
+    h, first = different(h, first)
+    x, starts, n = mix(h), first[:-1], np.diff(first)
     bits = U(max(1, int(n.max()).bit_length()))
     place = (np.arange(len(h)) - np.repeat(starts, n)).astype(U)
     rng, full = np.random.default_rng(seed), ~U(0)

@@ -305,6 +305,15 @@ def test_texts_alike_by_words_only_stay_apart(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 0}
 
 
+def test_repeated_lines_do_not_hide_copies(spark):
+    rng, rows = random.Random(10), []
+    for i in range(20):
+        text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(8)]
+        rows += [(10 * i, "\n".join(text)), (10 * i + 1, "\n".join(text * 3)), (10 * i + 2, "\n".join(x for x in text for _ in range(4))), (10 * i + 3, "\n".join(text[:1] * 40 + text))]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[d] == d // 10 * 10 for d, _ in rows)
+
+
 def test_near_duplicates_of_odd_tables(spark, odd, empty):
     got = near_dup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
