@@ -5,7 +5,11 @@ come back after an insertion. Chunks of at least MIN_LINES lines and MIN_WORDS w
 the whole table are compared byte by byte; where all bytes agree every occurrence but the first (by doc_id, then
 place) is removed.
 
-Edge cases: null text stays null; texts of one line hold no multi-line chunk and stay; rows alike in doc_id and
+So are runs of whole lines of RUN_WORDS words or more, wherever they begin. From each line the shortest such run
+onward and the one backward are taken; a repeated run is the union of those within it, so no run is missed, and their
+number is at most two a line. An occurrence that overlaps the first one in its own text stays.
+
+Edge cases: null text stays null; texts of one line are removed only as repeated runs; rows alike in doc_id and
 text are one document; a document may lose all its lines and is then the empty text; an empty table gives none."""
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 
 from scriptoria.llm import common
 
-ROLL, EVERY, MIN_LINES, MIN_WORDS = 2, 2, 2, 8
+ROLL, EVERY, MIN_LINES, MIN_WORDS, RUN_WORDS = 2, 2, 2, 8, 50
+#: A chunk's number is its first line << LINE_BITS | the line after its last.
+LINE_BITS = 32
 
 
 def chunk_ends(lines: list[str]) -> list[int]:
@@ -36,42 +42,84 @@ def chunk_ends(lines: list[str]) -> list[int]:
     return ends
 
 
+def runs(words: list[int]) -> set[tuple[int, int]]:
+    """(first line, line after the last) of the shortest runs of RUN_WORDS words or more from each line with words, on and back."""
+    out, n, total, end = set(), len(words), 0, 0
+    for i in range(n):  # onward
+        while end < n and total < RUN_WORDS:
+            total += words[end]
+            end += 1
+        if total < RUN_WORDS:
+            break
+        if words[i]:
+            out.add((i, end))
+        total -= words[i]
+    total, begin = 0, n
+    for j in range(n, 0, -1):  # backward
+        while begin and total < RUN_WORDS:
+            begin -= 1
+            total += words[begin]
+        if total < RUN_WORDS:
+            break
+        if words[j - 1]:
+            out.add((begin, j))
+        total -= words[j - 1]
+    return out
+
+
+def places(lines: list[str]) -> list[tuple[int, int]]:
+    """(first line, line after the last) of all that may be removed, in order."""
+    words, begin = [len(x.split()) for x in lines], 0
+    out = runs(words)
+    for end in chunk_ends(lines):
+        if end - begin >= MIN_LINES and sum(words[begin:end]) >= MIN_WORDS:
+            out.add((begin, end))
+        begin = end
+    return sorted(out)
+
+
 def chunks(text: str):
-    """(number, chunk) of each chunk that may be removed."""
+    """(number, chunk) of each chunk or run that may be removed."""
     lines = text.split("\n")
-    begin = 0
-    for k, end in enumerate(chunk_ends(lines)):
-        if end - begin >= MIN_LINES:
-            chunk = "\n".join(lines[begin:end])
-            if len(chunk.split()) >= MIN_WORDS:
-                yield k, chunk
-        begin = end
+    for begin, end in places(lines):
+        yield begin << LINE_BITS | end, "\n".join(lines[begin:end])
 
 
 def without(text: str, gone: set[int]) -> tuple[str, int]:
     """The text without these chunks, and the number of lines that went."""
     lines = text.split("\n")
-    begin, kept = 0, []
-    for k, end in enumerate(chunk_ends(lines)):
-        if k not in gone:
-            kept += lines[begin:end]
-        begin = end
-    return "\n".join(kept), len(lines) - len(kept)
+    out = {i for k in gone for i in range(k >> LINE_BITS, k & ((1 << LINE_BITS) - 1))}
+    return "\n".join(x for i, x in enumerate(lines) if i not in out), len(out)
 
 
-def chunk_table(docs: DataFrame, texts: bool) -> DataFrame:
-    """doc_id, text_hash, chunk, digest (and the chunk itself) of all chunks that may be removed."""
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, chunk, digest of all chunks and runs that may be removed."""
 
     def work(batch):
         out = []
         for doc, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for k, chunk in chunks(text or ""):
-                raw = chunk.encode("utf-8", "surrogatepass")
-                out.append((doc, text_hash, k, hashlib.blake2b(raw, digest_size=16).digest(), *([raw] * texts)))
-        names = ("doc_id", "text_hash", "chunk", "digest", *(["bytes"] * texts))
-        return dict(zip(names, zip(*out, strict=True), strict=True)) if out else None
+            lines = (text or "").split("\n")
+            own = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in lines]
+            for begin, end in places(lines):
+                out.append((doc, text_hash, begin << LINE_BITS | end, hashlib.blake2b(b"".join(own[begin:end]), digest_size=16).digest()))
+        return dict(zip(("doc_id", "text_hash", "chunk", "digest"), zip(*out, strict=True), strict=True)) if out else None
+
+    return common.arrow_map(docs, "doc_id long, text_hash long, chunk long, digest binary", work)
 
-    return common.arrow_map(docs, "doc_id long, text_hash long, chunk int, digest binary" + ", bytes binary" * texts, work)
+
+def byte_table(docs: DataFrame) -> DataFrame:
+    """digest, bytes of the chunks in `__held` (numbers and digests) of docs; once for the equal ones of a slice."""
+
+    def work(batch):
+        out = set()
+        for held, text in zip(batch.column("__held").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            lines = (text or "").split("\n")
+            for c in held:
+                k = c["chunk"]
+                out.add((c["digest"], "\n".join(lines[k >> LINE_BITS : k & ((1 << LINE_BITS) - 1)]).encode("utf-8", "surrogatepass")))
+        return dict(zip(("digest", "bytes"), zip(*out, strict=True), strict=True)) if out else None
+
+    return common.arrow_map(docs, "digest binary, bytes binary", work)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -80,15 +128,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     docs = docs.select(*names).withColumn("text", F.col("text").cast("string"))
     keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
     slim = keyed.select(F.col("__doc").alias("doc_id"), F.col("__hash").alias("text_hash"), "text")
-    found = common.stored(chunk_table(slim, texts=False), "chunks")
+    found = common.stored(chunk_table(slim), "chunks")
     place = F.struct("doc_id", "text_hash", "chunk")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
+    candidates = common.stored(found.join(groups, "digest"), "candidates")
     # the bytes of all occurrences: the least and the greatest are equal only if all are
-    compared = chunk_table(slim, texts=True).join(groups.select("digest"), "digest").groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least = most").select("digest")
-    repeated = common.stored(groups.join(compared, "digest"), "repeated")
-    gone = found.join(repeated, "digest").where(place != F.col("first")).groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__gone_doc"), F.col("text_hash").alias("__gone_hash"), "__gone")
-    both = keyed.join(gone, F.col("__doc").eqNullSafe(F.col("__gone_doc")) & (F.col("__hash") == F.col("__gone_hash")), "left").select(*names, "__gone")
+    held = candidates.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("chunk", "digest")).alias("__held"))
+    # all columns, as below, so that the texts are shuffled once for both joins
+    owners = keyed.join(_of_doc(held), F.col("__doc").eqNullSafe(F.col("__own_doc")) & (F.col("__hash") == F.col("__own_hash"))).select(*names, "__held")
+    differing = byte_table(owners).groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least <> most").select("digest")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    apart = F.shiftright("chunk", LINE_BITS) >= F.col("first.chunk").bitwiseAND(F.lit((1 << LINE_BITS) - 1))
+    gone = candidates.join(differing, "digest", "left_anti").where((place != F.col("first")) & (~own | apart)).groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("chunk"))
+    gone = gone.withColumnRenamed("chunk", "__gone")
+    both = keyed.join(_of_doc(gone), F.col("__doc").eqNullSafe(F.col("__own_doc")) & (F.col("__hash") == F.col("__own_hash")), "left").select(*names, "__gone")
 
     def work(batch):
         texts, n_lines, n_removed = [], [], []
@@ -103,6 +156,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return common.arrow_map(both, schema, work)
 
 
+def _of_doc(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"doc_id": "__own_doc", "text_hash": "__own_hash"})
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return deduplicated(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 

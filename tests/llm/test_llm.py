@@ -597,6 +597,21 @@ def test_line_dedup_against_a_table_of_chunks(spark):
     assert got == brute_dedup(rows)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_passages_of_few_long_lines_are_removed(spark, n):
+    rng = random.Random(n)
+    line = lambda words: " ".join(f"w{rng.randrange(10**6)}" for _ in range(words))
+    passage = [line(54 // n + 1) for _ in range(n)]
+    rows = []
+    for i in range(12):
+        own = [line(rng.choice([3, 20, 70])) for _ in range(rng.randint(4, 9))]
+        at = rng.randint(0, len(own))
+        rows.append((i, own[:at] + passage + own[at:], own))
+    rows.append((20, ["again again"] * 60, ["again again"] * 25))  # 25 lines are the first run; those that overlap it stay
+    got = {r.doc_id: r.text for r in line_chunks.deduplicated(spark.createDataFrame([(i, "\n".join(x)) for i, x, _ in rows], "doc_id long, text string")).collect()}
+    assert got[0] == "\n".join(rows[0][1]) and all(got[i] == "\n".join(own) for i, _, own in rows[1:])
+
+
 def test_line_dedup_of_odd_tables(spark, odd, empty):
     got = line_chunks.deduplicated(odd)
     assert got.count() == odd.count() and set(odd.columns) <= set(got.columns) and not line_chunks.deduplicated(empty).count()
