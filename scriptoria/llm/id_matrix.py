@@ -3,7 +3,8 @@
 Each task tokenizes its texts once and packs them shard by shard, a shard being SHARD_TOKENS ids: pieces go, longest
 first, to the sequence with the least room that still holds them; a segment tree over the capacities finds it.
 Sequences of equal room are interchangeable, so the search works on runs of them and on the histogram of lengths.
-Nothing is shuffled; a shard wastes about one sequence in a thousand. Each row of the result is one sequence: its ids
+Nothing is shuffled; small partitions are first put together to about a shard for each task, as a task's last shard ends
+with it, and a full shard wastes about one sequence in a thousand. Each row of the result is one sequence: its ids
 (little-endian unsigned 16-bit, filled up with PAD), cumulative segment lengths, and where positions restart from 0.
 
 Edge cases: null text is empty and gives the end token alone; overlong documents are cut losslessly; repeated rows
@@ -22,6 +23,8 @@ from scriptoria.llm.tokens import encoder, tokenizer_path
 
 CAPACITY, END, PAD = 4096, 1, 0
 SHARD_TOKENS = 4_000_000
+#: Bytes of text an id stands for, roughly; only decides how many tasks there are at most.
+ID_BYTES = 2
 
 
 class Rooms:
@@ -115,6 +118,8 @@ def packed_ids(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     path = path or tokenizer_path()
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    docs = docs.coalesce(max(1, size // (ID_BYTES * shard_tokens)))
 
     def batch_of(pieces: list) -> pa.RecordBatch:
         out = []

@@ -506,6 +506,12 @@ def test_matrices_are_lossless(spark, odd, empty, tmp_path):
     assert not id_matrix.packed_ids(empty).count()
 
 
+def test_small_partitions_share_sequences(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string").repartition(50)
+    rows = id_matrix.packed_ids(docs).collect()
+    assert len(rows) == 1 and sorted(rows[0].doc_ids) == list(range(200))
+
+
 # 7: language
 
 
