@@ -71,6 +71,46 @@ def called(provider: Provider, instructions: str, text: str, check: Callable[[st
     return None, tokens, calls, asks, reason
 
 
+def settled(items: list, most: int, ask: Callable[[list, str], tuple[dict, dict, dict]]) -> dict:
+    """item: (value, asks, size of the group that settled it, how): every item is asked for in groups of `most`, then those that are missing in groups of half
+    the largest first one, then alone, so no more than three times.
+
+    ask(group, note) gives (accepted, lenient, refused) by item; an item in none of them was left out. A note names the rules that
+    the group's earlier answers broke. After its last ask an item takes its lenient value if it has one; how is "accepted",
+    "lenient", "omitted" or "refused"."""
+    out: dict = {}
+    lenient, reasons, asks, missing, size = {}, {}, dict.fromkeys(items, 0), list(items), most
+    largest = min(most, len(items))
+    for size in dict.fromkeys((most, max(1, -(-largest // 2)), 1)):
+        for at in range(0, len(missing), size):
+            group = missing[at : at + size]
+            note = "; ".join(sorted({reasons[i] for i in group if i in reasons}))
+            accepted, maybe, refused = ask(group, note)
+            for i in group:
+                asks[i] += 1
+                if i in accepted:
+                    out[i] = (accepted[i], asks[i], len(group), "accepted")
+                    continue
+                if i in maybe:
+                    lenient[i] = (maybe[i], len(group))
+                reasons[i] = refused.get(i, "omitted")
+        missing = [i for i in missing if i not in out]
+    for i in missing:
+        value, own = lenient.get(i, (None, 1))
+        out[i] = (value, asks[i], own, "lenient" if i in lenient else "omitted" if reasons[i] == "omitted" else "refused")
+    return out
+
+
+def settled_items(work: DataFrame, key: str, most: int, ask: Callable[[list, str], tuple[dict, dict, dict]]) -> DataFrame:
+    """key, item, value, asks, group_size, how of rows (key, items array<long>): settled() for each row, in the task that has it."""
+
+    def rows(k, items):
+        for item, (value, asks, own, how) in settled(list(items or ()), most, ask).items():
+            yield (k, item, value, asks, own, how)
+
+    return flat_mapped(work.select(key, "items"), f"{key} {dict(work.dtypes)[key]}, item long, value string, asks int, group_size int, how string", rows)
+
+
 def is_object(text: str) -> str | None:
     from scriptoria.functions.records import the_object
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
@@ -31,7 +31,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def group_sizes(count: Column, fanout: int) -> Column:
+def group_sizes(count: Column, fanout: Column | int) -> Column:
     """array<int>: sizes of balanced groups in order, the first ones one larger."""
     groups = F.ceil(count / fanout).cast("int")
     base, more = F.floor(count / groups).cast("int"), F.pmod(count.cast("int"), groups)
@@ -58,32 +58,43 @@ def fanout(largest: Column, capacity: Column, ceiling: int | None = None) -> Col
     return F.when(n >= 2, n)
 
 
+def narrowed(costs: Column, ceiling: int, capacity: Column) -> Column:
+    """The largest fanout up to `ceiling` with which every group of a level fits: a level whose groups don't fit is tried again with one child less;
+    null if not even two fit. costs: of the level's nodes in order. A group of one is passed through and always fits."""
+    n = F.size(costs)
+
+    def fits(f):
+        sizes = group_sizes(n, f)
+        begins = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b))
+        sums = F.zip_with(sizes, begins, lambda size, at: F.when(size > 1, F.aggregate(F.slice(costs, at + 1, size), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0))
+        return F.forall(sums, lambda x: x <= capacity)
+
+    return F.try_element_at(F.filter(F.sequence(F.lit(ceiling), F.lit(2), F.lit(-1)), fits), F.lit(1))
+
+
 def tree(leaves: DataFrame, width: int, key: str = "doc_id", keep: int = 3) -> DataFrame:
     """All nodes of each document's tree: key, level, ord, node_id, children, covered, units.
 
     leaves: key, ord, segment_id, units (array of structs whose first field ranks them, best last). A merge keeps the
     `keep` best units of its children in their order; a group of one is passed through, stamped one level up."""
-    level = stored(
-        leaves.select(key, F.lit(0).alias("level"), F.col("ord").cast("int").alias("ord"), F.array("segment_id").alias("covered"), "units", F.array().cast("array<string>").alias("children")), "tree-0"
-    )
+    none = F.array().cast("array<string>")
+    level = stored(leaves.select(key, F.lit(0).alias("level"), F.col("ord").cast("int").alias("ord"), F.array("segment_id").alias("covered"), "units", none.alias("children")), "tree-0")
     done, number = level, 0
-    while True:
-        n = F.count("*").over(Window.partitionBy(key))
-        rows = level.withColumn("n", n).where("n > 1")
-        if rows.isEmpty():
-            break
+    # a document's nodes are counted once, over its keys alone; from then on each level's number follows from the one before
+    rows = level.join(level.groupBy(key).agg(F.count("*").cast("int").alias("n")).where("n > 1"), key)
+    while not rows.isEmpty():
         groups = F.ceil(F.col("n") / width).cast("int")
-        base, more = F.floor(F.col("n") / groups).cast("int"), F.pmod(F.col("n").cast("int"), groups)
+        base, more = F.floor(F.col("n") / groups).cast("int"), F.pmod(F.col("n"), groups)
         # the first `more` groups have base + 1 members
         own = F.when(F.col("ord") < more * (base + 1), F.floor(F.col("ord") / (base + 1))).otherwise(more + F.floor((F.col("ord") - more * (base + 1)) / base)).cast("int")
         number += 1
         members = F.array_sort(F.collect_list(F.struct("ord", "covered", "units", F.format_string("L%dN%04d", F.lit(number - 1), F.col("ord") + 1).alias("id"))))
         level = stored(
-            rows.withColumn("group", own).groupBy(key, "group").agg(members.alias("m")).select(
-                key, F.lit(number).alias("level"), F.col("group").alias("ord"), F.array_distinct(F.flatten("m.covered")).alias("covered"), best(F.flatten("m.units"), keep).alias("units"), F.col("m.id").alias("children")
+            rows.withColumn("group", own).groupBy(key, "group").agg(members.alias("m"), F.first(groups).alias("n")).select(
+                key, F.lit(number).alias("level"), F.col("group").alias("ord"), F.array_distinct(F.flatten("m.covered")).alias("covered"), best(F.flatten("m.units"), keep).alias("units"), F.col("m.id").alias("children"), "n"
             ), f"tree-{number}",
         )
-        done = done.unionByName(level)
+        done, rows = done.unionByName(level.drop("n")), level.where("n > 1")
     return done.withColumn("node_id", F.format_string("L%dN%04d", "level", F.col("ord") + 1))
 
 

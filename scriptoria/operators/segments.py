@@ -1,13 +1,15 @@
 """Lines, structural blocks, sentences, budgeted packs and segments. Offsets are code points; ranges are half open.
 
-Lines, sentences and packs stay in the JVM; blocks, hard splits and overlap windows depend on what was cut before,
-so a document's segments come from one pass over its text in an Arrow function, linear in its length."""
+Lines, sentences and packs stay in the JVM and put no marks into texts; blocks, hard splits and overlap windows depend
+on what was cut before, so a document's segments come from one pass over its text in an Arrow function, linear in its
+length."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ from scriptoria.functions import counters
 from scriptoria.functions import text as T
 from scriptoria.sources.arrow import flat_mapped
 
-#: Characters that never occur in text, used as marks while splitting.
-KEEP, CUT = "﷐", "﷑"
-ABBREVIATED = r"(?i)(^|[^\p{L}\p{N}_])((?:" + "|".join(re.escape(a) for a in T.ABBREVIATIONS) + r")\.)(\s)"
-SENTENCE_END = r"""([.!?…。！？]+["'”’»)\]}*_]*)(\s+)"""
+ENDS, CLOSERS = ".!?…。！？", r"""["'”’»)\]}*_]*"""
+SENTENCE_END = rf"([{ENDS}]+{CLOSERS})(\s+)"
+#: A full stop that ends an abbreviation with white space right after it ends no sentence.
+_ABBREVIATED = r"(?<=(?:^|[^\p{L}\p{N}_])(?i:" + "|".join(re.escape(a) for a in T.ABBREVIATIONS) + r"))\.\s"
+SENTENCE = rf"(?s).*?(?=[{ENDS}])(?<![{ENDS}])(?!{_ABBREVIATED})[{ENDS}]+{CLOSERS}\s+|.+\z"
 
 
 def line_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -31,11 +34,9 @@ def line_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def sentences(text: Column) -> Column:
-    """Pieces of a text that tile it: each ends with its sentence's closing marks and the white space after it."""
-    marked = text
-    for _ in range(2):  # a second time for abbreviations that share the blank between them
-        marked = F.regexp_replace(marked, ABBREVIATED, f"$1$2{KEEP}$3")
-    return F.split(F.replace(F.regexp_replace(marked, SENTENCE_END, f"$1$2{CUT}"), F.lit(KEEP), F.lit("")), CUT, -1)
+    """Pieces of a text that tile it: each ends with its sentence's closing marks and the white space after it. All
+    characters stay: the pieces are matched one after the other, and nothing is put into the text to mark them."""
+    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
 
 def sentence_spans(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -51,39 +52,51 @@ def draft_spans(docs: DataFrame, stage: int = 1, key: str = "doc_id") -> DataFra
     return spans.select(key, F.format_string(f"V{stage:02d}S%06d", F.col("ord") + 1).alias("span_id"), (F.col("ord") + 1).alias("ordinal"), "start", "end", "text", F.sha2("text", 256).alias("content_hash"))
 
 
-def packs(costs: Column, most: Column) -> Column:
-    """array<int>: how many units each pack takes, greedily in order; a unit over the budget is alone."""
-    start = F.struct(F.array().cast("array<int>").alias("done"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"))
+RUN = "struct<first:int,n:int,start:bigint,width:bigint,cost:bigint>"
+
 
-    def step(s, cost):
-        fits = (s["n"] == 0) | (s["sum"] + cost <= most)
-        return F.when(fits, F.struct(s["done"].alias("done"), (s["sum"] + cost).cast("long").alias("sum"), (s["n"] + 1).alias("n"))).otherwise(
-            F.struct(F.concat(s["done"], F.array(s["n"])).alias("done"), cost.cast("long").alias("sum"), F.lit(1).alias("n"))
-        )
+def runs(costs: Column, widths: Column, most: Column) -> Column:
+    """array<RUN>: packs of consecutive units, greedily in order; a unit over the budget is alone. first and n are units,
+    start and width sum up `widths` before and in the pack, cost its costs. One pass; units aren't copied."""
+    long = lambda c: c.cast("long")
+    start = F.struct(F.array().cast(f"array<{RUN}>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n"), long(F.lit(0)).alias("start"), long(F.lit(0)).alias("width"), long(F.lit(0)).alias("cost"))
+    now = lambda s: F.struct(*(s[c].alias(c) for c in ("first", "n", "start", "width", "cost")))
 
-    return F.aggregate(costs, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(s["n"]))).otherwise(s["done"]))
+    def step(s, unit):
+        cost, width = long(unit["cost"]), long(unit["width"])
+        more = F.struct(s["done"].alias("done"), s["first"].alias("first"), (s["n"] + 1).alias("n"), s["start"].alias("start"), (s["width"] + width).alias("width"), (s["cost"] + cost).alias("cost"))
+        new = F.struct(F.concat(s["done"], F.array(now(s))).alias("done"), (s["first"] + s["n"]).alias("first"), F.lit(1).alias("n"), (s["start"] + s["width"]).alias("start"), width.alias("width"), cost.alias("cost"))
+        return F.when((s["n"] == 0) | (s["cost"] + cost <= most), more).otherwise(new)
+
+    units = F.zip_with(costs, widths, lambda c, w: F.struct(c.alias("cost"), w.alias("width")))
+    return F.aggregate(units, start, step, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(now(s)))).otherwise(s["done"]))
+
+
+def packs(costs: Column, most: Column) -> Column:
+    """array<int>: how many units each pack takes, greedily in order; a unit over the budget is alone."""
+    return F.transform(runs(costs, costs, most), lambda r: r["n"])
 
 
 def packed_sentences(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
-    """key, ord, units, tokens, start, end: sentences packed to `most` UTF-8 bytes."""
+    """key, ord, units, tokens, start, end: sentences packed to `most` UTF-8 bytes.
+
+    Packs are cut within the document's own row, and each row that leaves has its own pack's text alone: no shuffle, and
+    work in proportion to the text."""
     own = docs.select(key, F.filter(sentences(F.col("text")), lambda s: s != "").alias("s"))
-    own = own.withColumn("sizes", F.transform("s", lambda x: F.octet_length(x))).withColumn("p", packs(F.col("sizes"), F.lit(most)))
-    ranks = Window.partitionBy(key).orderBy("ord")
-    rows = own.select(key, "s", F.posexplode("p").alias("ord", "units"))
-    rows = rows.withColumn("first", F.sum("units").over(ranks.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - F.col("units"))
-    rows = rows.withColumn("text", F.array_join(F.slice("s", F.col("first") + 1, F.col("units")), ""))
-    end = F.sum(F.length("text")).over(ranks).cast("int")
-    return rows.withColumn("end", end).select(key, "ord", "units", F.octet_length("text").alias("tokens"), (F.col("end") - F.length("text")).alias("start"), "end", "text")
+    own = own.withColumn("p", runs(F.transform("s", F.octet_length), F.transform("s", F.length), F.lit(most)))
+
+    def pack(r):
+        end = (r["start"] + r["width"]).cast("int")
+        return F.struct(r["n"].alias("units"), r["cost"].cast("int").alias("tokens"), r["start"].cast("int").alias("start"), end.alias("end"), F.array_join(F.slice("s", r["first"] + 1, r["n"]), "").alias("text"))
+
+    return own.select(key, F.posexplode(F.transform("p", pack)).alias("ord", "r")).select(key, "ord", "r.units", "r.tokens", "r.start", "r.end", "r.text")
 
 
 def packed_lines(docs: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     """key, ord, units, tokens: whole lines packed to `most` bytes."""
-    own = docs.select(key, F.transform(F.split("text", "\n", -1), lambda x: F.octet_length(x) + 1).alias("sizes"))
-    own = own.withColumn("p", packs(F.col("sizes"), F.lit(most)))
-    rows = own.select(key, "sizes", F.posexplode("p").alias("ord", "units"))
-    first = F.sum("units").over(Window.partitionBy(key).orderBy("ord")).cast("int") - F.col("units")
-    rows = rows.withColumn("first", first)
-    return rows.select(key, "ord", "units", F.aggregate(F.slice("sizes", F.col("first") + 1, F.col("units")), F.lit(0), lambda a, b: a + b).alias("tokens"))
+    sizes = F.transform(F.split("text", "\n", -1), lambda x: F.octet_length(x) + 1)
+    own = docs.select(key, sizes.alias("sizes")).select(key, F.posexplode(runs(F.col("sizes"), F.col("sizes"), F.lit(most))).alias("ord", "r"))
+    return own.select(key, "ord", F.col("r.n").alias("units"), F.col("r.cost").cast("int").alias("tokens"))
 
 
 def legacy_chunks(text: Column, most: int) -> Column:
@@ -201,10 +214,9 @@ class Budget:
         self.count = self.counter.count if self.counter else count
         self.sums = None
         if count is utf8_size:
-            self.sums = [0]
-            for c in text:
-                o = ord(c)
-                self.sums.append(self.sums[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            begins = np.flatnonzero((raw & 0xC0) != 0x80)  # a character's first byte
+            self.sums = [*begins.tolist(), len(raw)]
 
     def cost(self, a: int, b: int) -> int:
         return self.sums[b] - self.sums[a] if self.sums else self.count(self.text[a:b])

@@ -61,9 +61,14 @@ def ranked(claim_rows: DataFrame, segments: DataFrame, key: str = "doc_id") -> D
     """key, claim_id, segment_id, ord, required, overlap, rank, cost: required passages first, then shared terms, then source order."""
     mine = claim_rows.select(key, "claim_id", F.explode(T.terms(F.col("anchor"))).alias("term"))
     shared = mine.join(lexical_index(segments, key), [key, "term"]).groupBy(key, "claim_id", "segment_id").agg(F.count("*").alias("overlap"))
-    pairs = claim_rows.select(key, "claim_id", "anchor").join(segments.select(key, "segment_id", "ord", "text"), key)
-    pairs = pairs.withColumn("required", required(F.col("anchor"), F.col("text"))).withColumn("cost", passage_cost(F.col("segment_id"), F.col("text"))).drop("anchor", "text")
-    rows = pairs.join(shared, [key, "claim_id", "segment_id"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    # only claims that have a name, label or number meet texts; the others meet their passages' ids and costs alone
+    literal = claim_rows.where(F.size(T.proper_names(F.col("anchor"))) + F.size(T.district_labels(F.col("anchor"))) + F.size(T.significant_numbers(F.col("anchor"))) > 0)
+    must = literal.select(key, "claim_id", "anchor").join(segments.select(key, "segment_id", "text"), key).where(required(F.col("anchor"), F.col("text")))
+    must = must.select(key, "claim_id", "segment_id", F.lit(True).alias("required"))
+    slim = segments.select(key, "segment_id", "ord", passage_cost(F.col("segment_id"), F.col("text")).alias("cost"))
+    pairs = claim_rows.select(key, "claim_id").join(slim, key)
+    rows = pairs.join(must, [key, "claim_id", "segment_id"], "left").join(shared, [key, "claim_id", "segment_id"], "left")
+    rows = rows.withColumn("required", F.coalesce("required", F.lit(False))).withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     order = Window.partitionBy(key, "claim_id").orderBy(F.desc("required"), F.desc("overlap"), "ord")
     return rows.withColumn("rank", F.row_number().over(order))
 
@@ -246,20 +251,75 @@ def passages(segments: DataFrame, most: int, key: str = "doc_id", least: int = 3
 
 def evidence_batches(rows: DataFrame, budget: int, key: str = "doc_id") -> DataFrame:
     """key, claim_id, batch, segment_ids: all ranked passages of a claim, as many in a batch as the budget holds; the first batch is what a first look sees, the rest is what it omitted."""
-    from scriptoria.operators.segments import packs
+    from scriptoria.operators.segments import runs
 
     found = rows.groupBy(key, "claim_id").agg(F.array_sort(F.collect_list(F.struct("rank", "segment_id", "cost"))).alias("p"))
-    found = found.withColumn("sizes", packs(F.transform("p", lambda p: p["cost"] + 1), F.lit(budget)))
-    batches = found.select(key, "claim_id", "p", F.posexplode("sizes").alias("batch", "n"))
-    first = F.sum("n").over(Window.partitionBy(key, "claim_id").orderBy("batch")).cast("int") - F.col("n")
-    return batches.withColumn("first", first).select(key, "claim_id", "batch", F.slice(F.col("p.segment_id"), F.col("first") + 1, F.col("n")).alias("segment_ids"))
+    found = found.withColumn("sizes", F.transform("p", lambda p: p["cost"] + 1))
+    batches = F.transform(runs(F.col("sizes"), F.col("sizes"), F.lit(budget)), lambda r: F.slice(F.col("p.segment_id"), r["first"] + 1, r["n"]))
+    return found.select(key, "claim_id", F.posexplode(batches).alias("batch", "segment_ids"))
+
+
+#: Marks that count as the plain one when a quotation is looked for.
+LIKE_QUOTES = {"'": "\u2018\u2019\u201a\u201b\u2032", '"': "\u201c\u201d\u201e\u201f\u2033", "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"}
+
+
+def located(quote: Column, passage: Column) -> Column:
+    """The piece of a passage that a quotation copies, as the passage has it, or null.
+
+    An exact copy is itself. Else white space may differ in its kind and amount, and quotation marks and dashes in their
+    shape: the quotation becomes a pattern in which each of those stands for all of its like, and everything else for itself."""
+    trimmed = F.regexp_replace(quote, r"(?U)^\s+|\s+$", "")
+    pattern = F.regexp_replace(trimmed, r"([\\\[\](){}.*+?^$|#&~])", r"\\$1")
+    for plain, others in LIKE_QUOTES.items():
+        every = "-" * (plain == "-") + others + plain * (plain != "-")
+        pattern = F.regexp_replace(pattern, f"[{every}]", f"[{every}]")
+    pattern = F.concat(F.lit("(?U)"), F.regexp_replace(pattern, r"(?U)\s+", r"\\s+"))
+    found = F.regexp_substr(passage, pattern)
+    return F.when(trimmed == "", F.lit(None)).when(F.contains(passage, quote), quote).otherwise(found)
+
+
+def restored(source: DataFrame, shortened: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, text: shortened texts (key, text) with the source sentences (key, ord, text) whose numbers they lost after a blank line, in
+    their order; a sentence that is there already isn't put back, and a text shortened to nothing is its whole source."""
+    short = shortened.select(key, F.trim("text").alias("short"))
+    low = F.lower("short")
+    lost = lost_sentences(source, shortened, key).join(short, key).where(~F.contains(low, F.lower(F.trim("text"))))
+    tail = lost.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("tail"))
+    empty = source.join(short.where("short = ''").select(key), key, "left_semi").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("whole"))
+    rows = short.join(tail, key, "left").join(empty, key, "left")
+    text = F.when(F.col("short") == "", F.trim("whole")).when(F.col("tail").isNull(), F.col("short")).otherwise(F.concat("short", F.lit("\n\n"), "tail"))
+    return rows.select(key, text.alias("text"))
+
+
+def provenance_faults(node: Column, legal: Column, available: Column | None = None, require: bool = True) -> Column:
+    """array<string>: what is wrong with the references of a record (records.NODE). legal: map of segment ids that may be cited to their texts.
+
+    no_evidence: a unit without any; no_annotation_evidence: a qualification or contradiction without any; unknown_segment: a
+    reference to none of legal; no_provenance: nothing is cited where `require` asks for it; quotation, unit_quote and
+    annotation_quote: a quotation that isn't in the very segment it cites. Quotations are checked only in `available` (all
+    of legal by default)."""
+    available = legal if available is None else available
+    empty = F.array().cast("array<struct<segment_id:string,quote:string>>")
+    units = F.coalesce(node["content_units"]["evidence"], F.array().cast("array<array<struct<segment_id:string,quote:string>>>"))
+    notes = F.concat(*(F.coalesce(node[c]["evidence"], F.array().cast("array<array<struct<segment_id:string,quote:string>>>")) for c in ("qualifications", "contradictions")))
+    quotations, provenance = F.coalesce(node["quotations"], empty), F.coalesce(node["provenance"], F.array().cast("array<string>"))
+    bare = lambda groups: F.exists(groups, lambda g: F.coalesce(F.size(g) <= 0, F.lit(True)))
+    flat = lambda groups: F.flatten(F.transform(groups, lambda g: F.coalesce(g, empty)))
+    cited = F.concat(provenance, F.transform(F.concat(quotations, flat(units), flat(notes)), lambda e: e["segment_id"]))
+    texts = lambda e: F.try_element_at(available, e["segment_id"])
+    false = lambda quotes: F.exists(quotes, lambda e: F.coalesce(e["quote"].isNotNull() & ~F.contains(texts(e), e["quote"]), F.lit(False)))
+    rules = (
+        ("no_evidence", bare(units)), ("no_annotation_evidence", bare(notes)), ("unknown_segment", F.exists(cited, lambda c: ~F.coalesce(F.map_contains_key(legal, F.coalesce(c, F.lit(""))), F.lit(False)))),
+        ("no_provenance", F.lit(require) & (F.size(provenance) == 0)), ("quotation", false(quotations)), ("unit_quote", false(flat(units))), ("annotation_quote", false(flat(notes))),
+    )
+    return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules)))
 
 
 def validated(findings: DataFrame, segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """findings (key, claim_id, batch, verdict, segment_id, quote, chosen): a verdict whose evidence wasn't chosen, or whose quote isn't in it, becomes insufficient and loses its evidence."""
     known = segments.select(key, "segment_id", F.col("text").alias("source"))
     rows = findings.join(known, [key, "segment_id"], "left")
-    good = F.array_contains("chosen", F.col("segment_id")) & F.contains(T.straight_quotes(F.col("source")), T.straight_quotes(F.col("quote")))
+    good = F.array_contains("chosen", F.col("segment_id")) & located(F.col("quote"), F.col("source")).isNotNull()
     good = F.coalesce(good, F.lit(False)) | F.col("verdict").isin(VERDICTS[2], VERDICTS[3])
     cited = good & ~F.col("verdict").isin(VERDICTS[2], VERDICTS[3])
     return rows.select(key, "claim_id", "batch", F.when(good, F.col("verdict")).otherwise(VERDICTS[2]).alias("verdict"), F.when(cited, F.col("segment_id")).alias("segment_id"), F.when(cited, F.col("quote")).alias("quote"), (~good).alias("downgraded"))

@@ -21,12 +21,8 @@ SELECT doc_id, array_to_string(list(c ORDER BY b), ',') AS sizes FROM t GROUP BY
 def agg_groups(spark, sf):
     """AGG6, WIN6: balanced groups in order."""
     d = F.col("doc_id")
-    docs = table(spark, sf, "documents").select("doc_id", (d % 37 + 1).alias("n"), (d % 7 + 2).alias("f"))
-    by_width = [docs.where(F.col("f") == f).select("doc_id", reduce.group_sizes(F.col("n"), f).alias("s")) for f in range(2, 9)]
-    rows = by_width[0]
-    for more in by_width[1:]:
-        rows = rows.unionByName(more)
-    return rows.select("doc_id", F.array_join(F.col("s").cast("array<string>"), ",").alias("sizes"))
+    sizes = reduce.group_sizes(d % 37 + 1, d % 7 + 2)
+    return table(spark, sf, "documents").select("doc_id", F.array_join(sizes.cast("array<string>"), ",").alias("sizes"))
 
 
 @query("agg_fanout", "SELECT l_orderkey AS doc_id, CASE WHEN least(60 // CAST(max(l_quantity) AS BIGINT), 6) >= 2 THEN CAST(least(60 // CAST(max(l_quantity) AS BIGINT), 6) AS INTEGER) END AS fanout FROM lineitem GROUP BY l_orderkey")
@@ -44,9 +40,13 @@ def agg_merge_calls(spark, sf):
     return table(spark, sf, "documents").select("doc_id", reduce.merge_calls(F.col("doc_id") % 300, 5).alias("calls"))
 
 
+def _packs(spark, sf):
+    return segments.packed_sentences(table(spark, sf, "documents"), 1500).withColumn("segment_id", F.format_string("S%06d", F.col("ord") + 1))
+
+
 def _leaves(spark, sf):
     """Leaf records of packs of sentences: the extractive default."""
-    packs = segments.packed_sentences(table(spark, sf, "documents"), 1500).withColumn("segment_id", F.format_string("S%06d", F.col("ord") + 1))
+    packs = _packs(spark, sf)
     parts = packs.select("doc_id", "segment_id", F.col("ord").alias("leaf"), F.posexplode(F.filter(segments.sentences(F.col("text")), lambda s: s != "")).alias("ord", "text"))
     return reduce.extracted(parts, ["doc_id", "segment_id", "leaf"]).select("doc_id", "segment_id", F.col("leaf").alias("ord"), "units")
 
@@ -59,7 +59,8 @@ lv AS (SELECT doc_id, 0 AS level, n FROM l0 UNION ALL SELECT doc_id, level + 1,
 @query("agg_tree_levels", f"WITH RECURSIVE {_LEVELS} SELECT doc_id, CAST(level AS INTEGER) AS level, n AS nodes, (SELECT n FROM l0 WHERE l0.doc_id = lv.doc_id) AS covered FROM lv")
 def agg_tree_levels(spark, sf):
     """AGG5, AGG8, AGG9, I8: nodes of each level, which together cover every segment once."""
-    tree = reduce.tree(_leaves(spark, sf), 4)
+    none = F.array().cast("array<struct<rank:int>>")  # nodes are counted, so leaves need no units
+    tree = reduce.tree(_packs(spark, sf).select("doc_id", "segment_id", "ord", none.alias("units")), 4)
     return tree.groupBy("doc_id", "level").agg(F.count("*").alias("nodes"), F.sum(F.size("covered")).cast("long").alias("covered"))
 
 
@@ -71,7 +72,7 @@ def agg_tree(spark, sf):
 
 @query("agg_section_tree")
 def agg_section_tree(spark, sf):
-    """AGG10, AGG11: reductions within each section; no group crosses one. Source stands for the document, the document for its section."""
+    """AGG10: reductions within each section; no group crosses one. Source stands for the document, the document for its section."""
     leaves = _leaves(spark, sf).withColumn("k", F.format_string("%d/s%d", F.col("doc_id"), F.floor(F.col("ord") / 5)))
     parts = leaves.select("k", "segment_id", (F.col("ord") % 5).alias("ord"), "units")
     return reduce.tree(parts, 3, key="k").select("k", "node_id", "level", "children", "covered")
@@ -108,10 +109,10 @@ def js_candidates(spark, sf):
 
 
 @query("js_records", """
-SELECT doc_id, text[1:10] AS summary, 'other' AS kind, 'q' || doc_id AS quote, false AS uncertain FROM documents""")
+SELECT doc_id, text AS summary, 'other' AS kind, 'q' || doc_id AS quote, false AS uncertain FROM documents""")
 def js_records(spark, sf):
     """JS5, FLT12, D13: records checked and stripped of their sources."""
-    raw = F.to_json(F.struct(F.substring("text", 1, 10).alias("summary"), F.array(F.struct(F.lit("t").alias("text"), F.lit("strange").alias("kind"), F.array(F.struct(F.lit("S000001").alias("segment_id"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("quote"))).alias("evidence"))).alias("content_units")))
+    raw = F.to_json(F.struct(F.col("text").alias("summary"), F.array(F.struct(F.lit("t").alias("text"), F.lit("strange").alias("kind"), F.array(F.struct(F.lit("S000001").alias("segment_id"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("quote"))).alias("evidence"))).alias("content_units")))
     rows = table(spark, sf, "documents").select("doc_id", records.coerced(F.from_json(raw, records.NODE)).alias("node"))
     plain = rows.select("doc_id", records.without_sources(F.col("node")).alias("n"))
     unit = F.element_at("n.content_units", 1)
@@ -120,10 +121,65 @@ def js_records(spark, sf):
 
 @query("ctl_model")
 def ctl_model(spark, sf):
-    """SRC20, CTL1 to CTL3, VER8: a record for each document by the default provider."""
+    """SRC20, CTL1 to CTL3: a record for each document by the default provider."""
     return model.generated(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
+@query("agg_narrowed", """
+WITH c AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS i, CAST(l_quantity AS DOUBLE) AS cost, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+g AS (SELECT *, CASE WHEN i < (n % k) * (n // k + 1) THEN i // (n // k + 1) ELSE n % k + (i - (n % k) * (n // k + 1)) // (n // k) END AS b FROM (SELECT c.*, f, (n + f - 1) // f AS k FROM c, (VALUES (2), (3), (4), (5)) v(f))),
+s AS (SELECT doc_id, f, b, sum(cost) AS total, count(*) AS members FROM g GROUP BY doc_id, f, b),
+o AS (SELECT doc_id, f FROM s GROUP BY doc_id, f HAVING max(CASE WHEN members > 1 THEN total ELSE 0 END) <= 90)
+SELECT DISTINCT c.doc_id, (SELECT CAST(max(f) AS INTEGER) FROM o WHERE o.doc_id = c.doc_id) AS fanout FROM c""")
+def agg_narrowed(spark, sf):
+    """AGG11: a level is tried again with one child less until all its groups fit."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").cast("double").alias("cost"))
+    costs = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "cost"))), lambda x: x["cost"]).alias("costs"))
+    return costs.select("doc_id", reduce.narrowed(F.col("costs"), 5, F.lit(90.0)).alias("fanout"))
+
+
+@query("ver_reask", """
+WITH i AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS item, (l_orderkey + l_linenumber * 3) % 6 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS p, count(*) OVER (PARTITION BY l_orderkey) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+a AS (SELECT *, least(4, n) AS largest, count(*) OVER (PARTITION BY doc_id, p // 4) AS g1, CASE kind WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS most FROM i),
+b AS (SELECT *, greatest(1, (largest + 1) // 2) AS half FROM a),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS q FROM b WHERE g1 > most),
+m2 AS (SELECT *, count(*) OVER (PARTITION BY doc_id, q // half) AS g2 FROM m),
+r AS (SELECT doc_id, item, kind, 1 AS asks, g1 AS group_size, 'accepted' AS how FROM b WHERE g1 <= most
+      UNION ALL SELECT doc_id, item, kind, 2, g2, 'accepted' FROM m2 WHERE g2 <= most
+      UNION ALL SELECT doc_id, item, kind, CASE WHEN half > 1 THEN 3 ELSE 2 END, 1, CASE WHEN most >= 1 THEN 'accepted' WHEN kind = 4 THEN 'lenient' ELSE 'omitted' END FROM m2 WHERE g2 > most)
+SELECT doc_id, item, CASE WHEN how = 'accepted' THEN 'v' || item WHEN how = 'lenient' THEN 'about v' || item END AS value, CAST(asks AS INTEGER) AS asks, CAST(group_size AS INTEGER) AS group_size, how FROM r""")
+def ver_reask(spark, sf):
+    """VER8: items that an answer leaves out are asked for again in groups of half the size, then alone."""
+    work = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("long") + F.col("l_orderkey").cast("long") * 1000)).alias("items"))
+    return model.settled_items(work, "doc_id", 4, _answers).withColumn("item", F.col("item") % 1000).withColumn("value", F.regexp_replace("value", "[0-9]+$", F.col("item").cast("string")))
+
+
+def _answers(group: list, note: str) -> tuple[dict, dict, dict]:
+    """A model that answers an item only in groups up to a size of the item's own."""
+    most = lambda i: {0: 4, 1: 3, 2: 2, 3: 1}.get((i // 1000 + i % 1000 * 3) % 6, 0)
+    return {i: f"v{i}" for i in group if len(group) <= most(i)}, {i: f"about v{i}" for i in group if (i // 1000 + i % 1000 * 3) % 6 == 4}, {}
+
+
+@query("snk_exports", f"""
+WITH d AS (SELECT doc_id, 'Doc/' || doc_id AS title, text FROM documents WHERE text <> ''),
+n AS (SELECT doc_id, title, text, 'Doc_' || doc_id AS safe FROM d)
+SELECT doc_id, safe || '-summary.txt' AS name, 'text/plain; charset=utf-8' AS media_type, sha256(text) AS digest FROM n
+UNION ALL SELECT doc_id, safe || '-summary.md', 'text/markdown; charset=utf-8', sha256('# ' || title || chr(10) || chr(10) || trim(text) || '[^1]' || chr(10) || chr(10) || '[^1]: S000001' || chr(10)) FROM n
+UNION ALL SELECT doc_id, safe || '-summary.json', 'application/json', sha256(title || chr(9) || text || chr(9) || 'S000001') FROM n""")
+def snk_exports(spark, sf):
+    """SNK5: published texts as plain text, as Markdown with footnotes and as JSON, whose parts are read again here."""
+    one = F.array(F.struct(F.lit(0).alias("ord"), F.col("text").alias("text"), F.lit("S000001").alias("segment_id")))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Doc/"), F.col("doc_id").cast("string")).alias("title"), "text", one.alias("sentences"))
+    out = None
+    for form in ("txt", "md", "json"):
+        rows = publish.exported(docs, form)
+        if form == "json":
+            r = F.from_json("content", "title string, text string, sentences array<struct<ord:int,text:string,segment_id:string>>")
+            rows = rows.withColumn("content", F.concat_ws("\t", r["title"], r["text"], r["sentences"][0]["segment_id"]))
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("doc_id", "name", "media_type", F.sha2("content", 256).alias("digest"))
+
+
 @query("ctl_cache", """
 SELECT doc_id, sha256('{"t":"' || sha256(text) || '"}') AS cache_key, CASE WHEN bool_or(lang = 'en') OVER (PARTITION BY text) THEN 'old' ELSE 'new' END AS answer FROM documents""")
 def ctl_cache(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
-from scriptoria.operators import reduce, sections
+from scriptoria.operators import reduce, sections, segments, verify
 from scriptoria.plans.registry import query, table
 
 
@@ -109,13 +109,24 @@ def join_retry(spark, sf):
     return both.select("k", F.when(use, F.col("again")).otherwise(F.col("status")).alias("status"), use.alias("replaced"))
 
 
-@query("join_quote", """
-WITH q AS (SELECT doc_id, text, text[11:40] AS quote FROM documents)
-SELECT doc_id, CAST(instr(text, quote) AS INTEGER) AS first_at, CAST(instr(text, quote) - 1 + 100 AS INTEGER) AS document_offset, contains(text, quote) AS found FROM q""")
+@query("join_quote", r"""
+WITH p AS (SELECT doc_id, doc_id % 4 AS k, chr(8212) || ' ' || replace(replace(text, '''', chr(8217)), '-', chr(8211)) || chr(10) AS passage, text AS t FROM documents),
+q AS (SELECT doc_id, k, passage, CASE k WHEN 0 THEN passage WHEN 1 THEN ' - ' || replace(t, ' ', '  ') WHEN 2 THEN t || ' and never more' ELSE ' ' || chr(10) END AS quote FROM p),
+c AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS c FROM (SELECT doc_id, regexp_extract_all(passage, '(?s).') AS x FROM q WHERE k = 1)),
+w AS (SELECT *, regexp_matches(c, '\s') AS blank, coalesce(lag(regexp_matches(c, '\s')) OVER (PARTITION BY doc_id ORDER BY i), true) AS after FROM c),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place, CASE WHEN blank THEN ' ' ELSE translate(c, chr(8217) || chr(8211) || chr(8212), '''--') END AS c FROM w WHERE NOT (blank AND after)),
+n AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS plain FROM o GROUP BY doc_id),
+f AS (SELECT n.doc_id, strpos(plain, trim(regexp_replace(translate(quote, chr(8217) || chr(8211) || chr(8212), '''--'), '\s+', ' ', 'g'))) AS a, length(trim(regexp_replace(translate(quote, chr(8217) || chr(8211) || chr(8212), '''--'), '\s+', ' ', 'g'))) AS m FROM n JOIN q ON q.doc_id = n.doc_id),
+r AS (SELECT f.doc_id, x.i AS i, y.i - x.i + 1 AS n FROM f JOIN o x ON x.doc_id = f.doc_id AND x.place = a JOIN o y ON y.doc_id = f.doc_id AND y.place = a + m - 1 WHERE a > 0)
+SELECT q.doc_id, CASE k WHEN 0 THEN true WHEN 1 THEN r.doc_id IS NOT NULL ELSE false END AS found, CAST(CASE k WHEN 0 THEN 100 WHEN 1 THEN r.i + 99 END AS INTEGER) AS document_offset,
+       CAST(CASE k WHEN 0 THEN length(passage) WHEN 1 THEN r.n END AS INTEGER) AS length FROM q LEFT JOIN r ON r.doc_id = q.doc_id""")
 def join_quote(spark, sf):
-    """JOIN14, VER17: where a quotation stands, with the segment's base offset."""
-    q = table(spark, sf, "documents").select("doc_id", "text", F.substring("text", 11, 30).alias("quote"))
-    return q.select("doc_id", F.instr(F.col("text"), F.col("quote")).alias("first_at"), (F.instr(F.col("text"), F.col("quote")) - 1 + 100).alias("document_offset"), F.contains("text", "quote").alias("found"))
+    """JOIN14, VER17: where a quotation stands, with the segment's base offset, though blanks, quotation marks and dashes differ; some aren't there."""
+    k = F.col("doc_id") % 4
+    passage = F.concat(F.lit("\u2014 "), F.replace(F.replace(F.col("text"), F.lit("'"), F.lit("\u2019")), F.lit("-"), F.lit("\u2013")), F.lit("\n"))
+    quote = F.when(k == 0, passage).when(k == 1, F.concat(F.lit(" - "), F.replace(F.col("text"), F.lit(" "), F.lit("  ")))).when(k == 2, F.concat("text", F.lit(" and never more"))).otherwise(F.lit(" \n"))
+    rows = table(spark, sf, "documents").select("doc_id", passage.alias("passage"), verify.located(quote, passage).alias("own"))
+    return rows.select("doc_id", F.col("own").isNotNull().alias("found"), (F.instr(F.col("passage"), F.col("own")) - 1 + 100).alias("document_offset"), F.length("own").alias("length"))
 
 
 @query("join_matrix", """
@@ -370,8 +381,8 @@ def _sectioned(spark, sf):
     """Documents with an outline of every fifth line."""
     docs = table(spark, sf, "documents")
     lines = F.split("text", "\n", -1)
-    starts = F.transform(lines, lambda x, i: F.struct(F.length(F.array_join(F.slice(lines, F.lit(1), i), "\n")).alias("start"), F.substring(x, 1, 40).alias("title"), (F.pmod(i, F.lit(15)) / 5 + 1).cast("int").alias("level"), i.alias("i")))
-    outline = F.transform(F.filter(starts, lambda s: F.pmod(s["i"], F.lit(5)) == 0), lambda s: F.struct((s["start"] + F.when(s["i"] > 0, 1).otherwise(0)).alias("start"), s["title"], s["level"]))
+    fives = segments.runs(F.transform(lines, lambda x: F.lit(1)), F.transform(lines, lambda x: F.length(x) + 1), F.lit(5))
+    outline = F.transform(fives, lambda r: F.struct(r["start"].cast("int").alias("start"), F.substring(F.element_at(lines, r["first"] + 1), 1, 40).alias("title"), (F.pmod(r["first"], F.lit(15)) / 5 + 1).cast("int").alias("level")))
     return docs.select("doc_id", "text", outline.alias("outline"))
 
 

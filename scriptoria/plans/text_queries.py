@@ -151,10 +151,10 @@ def str_unfinished(spark, sf):
 
 
 @query("str_citations", r"""
-SELECT doc_id, regexp_replace('A (S000001, S000002) b [S000003]. ' || left(text, 40) || ' (see S000001)', '[ \t]*[(\[][SD][0-9]{6}(?:[,;][ ]*[SD][0-9]{6})*[)\]]', '', 'g') AS prose FROM documents""")
+SELECT doc_id, regexp_replace('A (S000001, S000002) b [S000003]. ' || text || ' (see S000001)', '[ \t]*[(\[][SD][0-9]{6}(?:[,;][ ]*[SD][0-9]{6})*[)\]]', '', 'g') AS prose FROM documents""")
 def str_citations(spark, sf):
     """STR3: bracketed segment ids are dropped from prose."""
-    t = F.concat(F.lit("A (S000001, S000002) b [S000003]. "), F.substring("text", 1, 40), F.lit(" (see S000001)"))
+    t = F.concat(F.lit("A (S000001, S000002) b [S000003]. "), "text", F.lit(" (see S000001)"))
     return table(spark, sf, "documents").select("doc_id", T.without_citations(t).alias("prose"))
 
 

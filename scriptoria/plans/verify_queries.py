@@ -50,14 +50,14 @@ def ver_evidence(spark, sf):
 
 @query("ver_overlap", r"""
 WITH i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
-l AS (SELECT doc_id, quality, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM documents),
 f AS (SELECT term FROM i GROUP BY term HAVING count(*) <= 3)
 SELECT item_id, doc_id, count(*) AS overlap FROM i JOIN f USING (term) JOIN l USING (term) GROUP BY item_id, doc_id HAVING count(*) >= 3""")
 def ver_overlap(spark, sf):
     """JOIN8, SET2: items and documents that share at least three terms which are rare among the items."""
     items = table(spark, sf, "benchmark").select("item_id", F.explode(T.terms(F.col("text"))).alias("term"))
     rare = items.join(items.groupBy("term").count().where("count <= 3"), "term").select("item_id", "term")
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id"), "doc_id").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    docs = table(spark, sf, "documents").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
     return docs.join(rare, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap")).where("overlap >= 3")
 
 
@@ -182,7 +182,7 @@ def ver_audit(spark, sf):
     docs = table(spark, sf, "documents")
     passages = docs.select("doc_id", F.lit("S000001").alias("segment_id"), "text")
     n = F.col("doc_id") % 3
-    cited = docs.select("doc_id", F.lit("L0N0001").alias("node_id"), F.when(n == 0, "S999999").otherwise("S000001").alias("segment_id"), F.when(n == 1, "never written").otherwise(F.substring("text", 1, 20)).alias("quote"))
+    cited = docs.select("doc_id", F.lit("L0N0001").alias("node_id"), F.when(n == 0, "S999999").otherwise("S000001").alias("segment_id"), F.when(n == 1, "never written").otherwise(F.col("text")).alias("quote"))
     return verify.audit_faults(passages, cited)
 
 
@@ -192,13 +192,50 @@ x AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(string_agg(text, '
 y AS (SELECT doc_id, ord, unnest(list_distinct(regexp_extract_all(text, '\b[0-9]{{2,}}\b|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b'))) AS lit FROM z)
 SELECT doc_id, CAST(ord AS INTEGER) AS ord, array_to_string(list_sort(list(lit)), ',') AS lost FROM y WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = y.doc_id AND x.lit = y.lit) GROUP BY doc_id, ord""")
 def flt_lost(spark, sf):
-    """FLT9, VER15: source sentences whose numbers a shorter text has lost."""
+    """FLT9: source sentences whose numbers a shorter text has lost."""
     s = segments.sentence_spans(table(spark, sf, "documents"))
     s = s.select("doc_id", "ord", F.concat("text", F.lit(" "), (100 + F.col("doc_id") % 7 * 10 + F.col("ord") % 3).cast("string")).alias("text"))
     short = s.where("ord % 4 <> 1").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias("text"))
     return verify.lost_sentences(s, short).select("doc_id", "ord", F.array_join("lost", ",").alias("lost"))
 
 
+@query("flt_restored", rf"""
+WITH {SPANS}, z AS (SELECT doc_id, ord, text || ' ' || (100 + doc_id % 7 * 10 + ord % 3) AS text FROM sp),
+sh AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE trim(coalesce(string_agg(text, ' ' ORDER BY ord) FILTER (ord % 4 <> 1), '')) END AS short, string_agg(text, '' ORDER BY ord) AS whole FROM z GROUP BY doc_id),
+y AS (SELECT z.doc_id, ord, trim(z.text) AS t FROM z JOIN sh ON sh.doc_id = z.doc_id
+      WHERE NOT contains(lower(short), lower(trim(z.text))) AND len(list_filter(regexp_extract_all(z.text, '\b[0-9]{{2,}}\b|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b'), lambda l: NOT list_contains(regexp_extract_all(short, '\b[0-9]{{2,}}\b|\b[0-9]{{1,3}}(?:,[0-9]{{3}})+\b'), l))) > 0),
+t AS (SELECT doc_id, string_agg(t, ' ' ORDER BY ord) AS tail FROM y GROUP BY doc_id)
+SELECT sh.doc_id, sha256(CASE WHEN short = '' THEN trim(whole) WHEN tail IS NULL THEN short ELSE short || chr(10) || chr(10) || tail END) AS digest FROM sh LEFT JOIN t ON t.doc_id = sh.doc_id""")
+def flt_restored(spark, sf):
+    """FLT9, VER15: the sentences whose numbers a shorter text has lost are put back; a text shortened to nothing is its source."""
+    s = segments.sentence_spans(table(spark, sf, "documents"))
+    s = s.select("doc_id", "ord", F.concat("text", F.lit(" "), (100 + F.col("doc_id") % 7 * 10 + F.col("ord") % 3).cast("string")).alias("text"))
+    kept = F.array_sort(F.collect_list(F.when((F.col("ord") % 4 != 1) & (F.col("doc_id") % 5 != 0), F.struct("ord", "text"))))
+    short = s.groupBy("doc_id").agg(F.array_join(F.transform(kept, lambda x: x["text"]), " ").alias("text"))
+    return verify.restored(s, short).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("ver_provenance", """
+SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'no_evidence' END, CASE WHEN doc_id % 3 = 0 THEN 'no_annotation_evidence' END, CASE WHEN doc_id % 5 = 0 AND NOT (doc_id % 7 = 0 AND doc_id % 11 = 0) THEN 'unknown_segment' END, CASE WHEN doc_id % 7 = 0 THEN 'no_provenance' END,
+  CASE WHEN doc_id % 11 = 0 AND NOT contains(text, upper(text) || '!') THEN 'quotation' END, CASE WHEN doc_id % 2 = 1 AND NOT contains(text, source) THEN 'unit_quote' END, CASE WHEN doc_id % 3 = 1 AND NOT contains(text, lang) THEN 'annotation_quote' END], lambda x: x IS NOT NULL), ',') AS faults FROM documents""")
+def ver_provenance(spark, sf):
+    """FLT11: the seven rules of a record's references."""
+    from scriptoria.functions import records
+
+    d, s1 = F.col("doc_id"), F.lit("S000001")
+    cite = lambda quote, segment=s1: F.array(F.struct(segment.alias("segment_id"), quote.alias("quote")))
+    nothing, null = F.array().cast(records.EVIDENCE), F.lit(None).cast("string")
+    unit = F.when(d % 2 == 0, nothing).otherwise(cite(F.col("source")))
+    note = F.when(d % 3 == 0, nothing).when(d % 3 == 1, cite(F.col("lang"))).otherwise(cite(F.col("text")))
+    node = F.struct(
+        F.lit("s").alias("summary"), F.array(F.struct(F.lit("u").alias("text"), F.lit("claim").alias("kind"), unit.alias("evidence"))).alias("content_units"), F.array(F.struct(F.lit("q").alias("text"), note.alias("evidence"))).alias("qualifications"),
+        F.array(F.struct(F.lit("c").alias("text"), cite(null).alias("evidence"))).alias("contradictions"), F.when(d % 11 == 0, cite(F.concat(F.upper("text"), F.lit("!")))).when(d % 5 == 0, cite(null, F.lit("S000009"))).otherwise(nothing).alias("quotations"),
+        F.when(d % 7 == 0, F.array().cast("array<string>")).when(d % 5 == 0, F.array(F.lit("S000009"))).otherwise(F.array(s1)).alias("provenance"),
+    )
+    rows = table(spark, sf, "documents").select("doc_id", node.alias("node"), F.create_map(s1, F.col("text")).alias("legal"))
+    return rows.select("doc_id", F.array_join(verify.provenance_faults(F.col("node"), F.col("legal")), ",").alias("faults"))
+
+
 @query("cmp_shorten", rf"""
 WITH {SPANS}, w AS (SELECT doc_id, ord, trim(text) AS t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words, len(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS terms FROM sp),
 u AS (SELECT *, sum(words) OVER o AS upto, row_number() OVER o AS k FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY terms DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -208,6 +245,36 @@ def cmp_shorten(spark, sf):
     return verify.compressed(segments.sentence_spans(table(spark, sf, "documents")), 60).select("doc_id", F.sha2("text", 256).alias("digest"), "words")
 
 
+@query("cmp_passes", f"""
+WITH RECURSIVE {SPANS}, w AS (SELECT doc_id, ord, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM sp),
+c AS (SELECT doc_id, ord + 1 AS n, sum(words) OVER (PARTITION BY doc_id ORDER BY ord) AS words, count(*) OVER (PARTITION BY doc_id) AS m FROM w),
+r AS (SELECT doc_id, n, words, 0 AS accepted, 0 AS slow, CASE WHEN words <= 40 * 1.1 THEN 'band' END AS why FROM c WHERE n = m
+      UNION ALL
+      SELECT r.doc_id, CASE WHEN c.words < r.words THEN c.n ELSE r.n END, least(c.words, r.words), r.accepted + CASE WHEN c.words < r.words THEN 1 ELSE 0 END,
+             CASE WHEN 1 - c.words / r.words < 0.01 THEN r.slow + 1 ELSE 0 END,
+             CASE WHEN c.words >= r.words THEN 'refused' WHEN 1 - c.words / r.words < 0.01 AND r.slow = 2 THEN 'slow' WHEN c.words <= 40 * 1.1 THEN 'band' WHEN r.accepted + 1 >= 99 THEN 'passes' END
+      FROM r JOIN c ON c.doc_id = r.doc_id AND c.n = greatest(1, r.n - (r.n + 9) // 10) WHERE r.why IS NULL)
+SELECT doc_id, CAST(words AS INTEGER) AS words, accepted, why FROM r WHERE why IS NOT NULL
+UNION ALL SELECT doc_id, 0, 0, 'band' FROM documents WHERE text IS NULL OR text = ''""")
+def cmp_passes(spark, sf):
+    """CMP1: light passes until a text is in the band; what doesn't shorten it is refused, and slow passes end it."""
+    from scriptoria.operators import shorten
+
+    return shorten.shortened_texts(table(spark, sf, "documents"), 40).select("doc_id", "words", "accepted", "why")
+
+
+@query("cmp_begin", """
+SELECT doc_id, CASE WHEN k = 0 THEN sha256(text) WHEN k = 1 AND n < 36 THEN sha256(text || chr(10) || chr(10) || source) WHEN k = 1 AND n > 44 THEN sha256(text) END AS digest
+FROM (SELECT doc_id, text, source, doc_id % 2 AS k, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents) WHERE NOT (k = 0 AND n <= 44)
+UNION ALL SELECT doc_id, CASE WHEN n < 36 AND trim(text) <> '' THEN sha256(text) END FROM (SELECT doc_id, text, doc_id % 2 AS k, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents) WHERE k = 0 AND n <= 44""")
+def cmp_begin(spark, sf):
+    """CMP2: passes begin with the summary, or with the segments' texts where it holds too little; in the band there is nothing to do."""
+    from scriptoria.operators import shorten
+
+    cores = F.when(F.col("doc_id") % 2 == 1, F.array("text", F.lit(" "), "source")).otherwise(F.array("text"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(shorten.to_shorten(F.col("text"), cores, 40), 256).alias("digest"))
+
+
 @query("flt_tolerance", r"""
 SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'rounded_number' WHEN 1 THEN 'shortened_name' END AS allowed FROM benchmark""")
 def flt_tolerance(spark, sf):
@@ -242,13 +309,13 @@ def ver_passages(spark, sf):
 
 
 @query("ver_classified", r"""
-WITH p AS (SELECT item_id, text AS anchor, CASE item_id % 3 WHEN 0 THEN text || ' and more' WHEN 1 THEN left(text, 40) ELSE '' END AS passage FROM benchmark),
+WITH p AS (SELECT item_id, text AS anchor, CASE item_id % 3 WHEN 0 THEN text || ' and more' WHEN 1 THEN regexp_replace(text, '^\S+\s*', '') ELSE '' END AS passage FROM benchmark),
 t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(anchor), '[\p{L}\p{N}]+')) AS a, list_distinct(regexp_extract_all(lower(passage), '[\p{L}\p{N}]+')) AS b FROM p)
 SELECT item_id, CASE WHEN list_has_all(b, a) THEN 'supported' ELSE 'insufficiently_supported' END AS verdict, CAST(len(list_intersect(a, b)) AS DOUBLE) / len(a) AS share FROM t""")
 def ver_classified(spark, sf):
     """VER6: the deterministic classifier."""
     n, t = F.col("item_id") % 3, F.col("text")
-    passage = F.when(n == 0, F.concat(t, F.lit(" and more"))).when(n == 1, F.substring(t, 1, 40)).otherwise("")
+    passage = F.when(n == 0, F.concat(t, F.lit(" and more"))).when(n == 1, F.regexp_replace(t, r"^\S+\s*", "")).otherwise("")
     return verify.classified(table(spark, sf, "benchmark").select("item_id", t.alias("anchor"), passage.alias("text")), ["item_id"])
 
 
@@ -259,14 +326,14 @@ def ver_findings(spark, sf):
     """VER7: findings whose evidence doesn't hold are downgraded; curly quotation marks don't matter."""
     docs, n = table(spark, sf, "documents"), F.col("doc_id") % 4
     passages = docs.select("doc_id", F.lit("S000001").alias("segment_id"), F.concat(F.lit("He said “no” — "), F.col("text")).alias("text"))
-    quote = F.when(n == 0, 'said "no" -').when(n == 1, F.substring("text", 1, 30)).when(n == 2, "never written").otherwise("")
+    quote = F.when(n == 0, 'said "no" -').when(n == 1, F.col("text")).when(n == 2, "never written").otherwise("")
     rows = docs.select("doc_id", F.lit("V01C000001").alias("claim_id"), F.lit(0).alias("batch"), F.when(n == 1, verify.VERDICTS[1]).when(n == 3, verify.VERDICTS[3]).otherwise(verify.VERDICTS[0]).alias("verdict"), F.lit("S000001").alias("segment_id"), quote.alias("quote"), F.array(F.lit("S000001")).alias("chosen"))
     return verify.validated(rows, passages).select("doc_id", "verdict", "segment_id", "downgraded")
 
 
 @query("ver_pass")
 def ver_pass(spark, sf):
-    """VER8 to VER10, AGG12, FLT5: verdicts of the benchmark's items against their documents, over all evidence, with a second look."""
+    """VER9, VER10, AGG12, FLT5: verdicts of the benchmark's items against their documents, over all evidence, with a second look."""
     return verify.verified(_claims(spark, sf), _segments(spark, sf), 2000)
 
 
