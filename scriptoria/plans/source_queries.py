@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.plans.registry import query, table
 from scriptoria.plans.text_queries import sql_normalized, sql_words
-from scriptoria.sources import blocks, detect, markup, packages, subtitles
+from scriptoria.sources import blocks, detect, markup, packages, pdf, subtitles
 
 
 @query("src_html_blocks")
@@ -27,10 +29,11 @@ def src_html_text(spark, sf):
 
 @query("src_charset", r"""
 WITH p AS (SELECT page_id, left(CASE page_id % 3 WHEN 0 THEN '<meta charset="Latin1">' WHEN 1 THEN '<?xml version="1.0" encoding="KOI8-R"?>' ELSE '' END || html, 4096) AS h FROM pages),
-l AS (SELECT page_id, lower(coalesce(nullif(regexp_extract(h, '(?i)<meta[^>]+charset\s*=\s*["'']?\s*([A-Za-z0-9._:-]+)', 1), ''), nullif(regexp_extract(h, '(?i)<\?xml[^>]+encoding\s*=\s*["'']([A-Za-z0-9._:-]+)', 1), ''))) AS c FROM p)
+f AS (SELECT page_id, h, strpos(lower(h), '<meta charset') AS m, strpos(lower(h), '<?xml ') AS x FROM p),
+l AS (SELECT page_id, lower(nullif(CASE WHEN x > 0 AND (m = 0 OR x < m) THEN regexp_extract(h, '(?i)<\?xml[^>]+encoding\s*=\s*["'']([A-Za-z0-9._:-]+)', 1) ELSE regexp_extract(h, '(?i)<meta[^>]+charset\s*=\s*["'']?\s*([A-Za-z0-9._:-]+)', 1) END, '')) AS c FROM f)
 SELECT page_id, CASE WHEN c IN ('ascii', 'us-ascii', 'iso-8859-1', 'iso8859-1', 'latin1', 'latin-1', 'l1', 'windows-1252') THEN 'cp1252' ELSE c END AS charset FROM l""")
 def src_charset(spark, sf):
-    """SRC6: declared encodings."""
+    """SRC6: declared encodings; the first declaration counts."""
     head = F.concat(F.when(F.col("page_id") % 3 == 0, '<meta charset="Latin1">').when(F.col("page_id") % 3 == 1, '<?xml version="1.0" encoding="KOI8-R"?>').otherwise(""), F.col("html"))
     return table(spark, sf, "pages").select("page_id", markup.declared_charset(head).alias("charset"))
 
@@ -143,13 +146,13 @@ def ing_report(spark, sf):
 
 
 @query("src_ocr", r"""
-WITH p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '...' ELSE left(text, CAST(doc_id % 1500 AS BIGINT)) END AS layer, CASE WHEN doc_id % 5 = 0 THEN '' ELSE left(text, 900) END AS ocr FROM documents),
+WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '...' WHEN 1 THEN source ELSE text END AS layer, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN text || ' ' || text ELSE text END AS ocr FROM documents),
 v AS (SELECT *, length(replace(replace(layer, ' ', ''), chr(10), '')) AS a, length(replace(replace(ocr, ' ', ''), chr(10), '')) AS b, regexp_matches(layer, '[\p{L}\p{N}]') AS la, regexp_matches(ocr, '[\p{L}\p{N}]') AS lb FROM p)
 SELECT doc_id, a < 1000 OR NOT la AS sparse, lb AND (NOT la OR b > 1.5 * a) AS recognized FROM v""")
 def src_ocr(spark, sf):
     """SRC17, SRC18: thin text layers, and where recognized text replaces them."""
     d = F.col("doc_id")
-    pages = table(spark, sf, "documents").select("doc_id", F.when(d % 4 == 0, "...").otherwise(F.substring(F.col("text"), F.lit(1), (d % 1500).cast("int"))).alias("layer"), F.when(d % 5 == 0, "").otherwise(F.substring("text", 1, 900)).alias("ocr"))
+    pages = table(spark, sf, "documents").select("doc_id", F.when(d % 4 == 0, "...").when(d % 4 == 1, F.col("source")).otherwise(F.col("text")).alias("layer"), F.when(d % 5 == 0, "").when(d % 5 == 1, F.concat("text", F.lit(" "), "text")).otherwise(F.col("text")).alias("ocr"))
     return pages.select("doc_id", blocks.sparse_page(F.col("layer")).alias("sparse"), blocks.preferred(F.col("layer"), F.col("ocr")).alias("recognized"))
 
 
@@ -207,14 +210,14 @@ def ing_outline(spark, sf):
 
 @query("ing_layout")
 def ing_layout(spark, sf):
-    """ING9, ING11, ING12, AGG14, WIN7: headings of laid-out lines; every sixth line is set large, and each page has a running head."""
+    """ING9, ING11, ING12, AGG14, WIN7: headings of laid-out lines; every sixth line, whole, is set large, and each page has a running head."""
     from scriptoria.operators import layout
 
     docs = table(spark, sf, "documents")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "text")).where("trim(text) <> ''")
     big = F.col("i") % 6 == 0
     page = F.floor(F.col("i") / 12).cast("int") + 1
-    placed = lines.select("doc_id", page.alias("page"), (F.col("i") % 12 + 1).alias("line_no"), F.when(big, F.substring("text", 1, 40)).otherwise(F.col("text")).alias("text"), F.when(big, 16.0).otherwise(10.0).alias("size"), big.alias("bold"), (700.0 - (F.col("i") % 12) * 14 - F.floor(F.col("i") % 12 / 6) * 30).alias("y"))
+    placed = lines.select("doc_id", page.alias("page"), (F.col("i") % 12 + 1).alias("line_no"), "text", F.when(big, 16.0).otherwise(10.0).alias("size"), big.alias("bold"), (700.0 - (F.col("i") % 12) * 14 - F.floor(F.col("i") % 12 / 6) * 30).alias("y"))
     heads = placed.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("line_no"), F.concat(F.lit("Running Head "), F.col("page").cast("string")).alias("text"), F.lit(16.0).alias("size"), F.lit(True).alias("bold"), F.lit(760.0).alias("y"))
     return layout.headings(placed.unionByName(heads))
 
@@ -283,3 +286,76 @@ def src_odt(spark, sf):
 def src_epub(spark, sf):
     """SRC15: books."""
     return _packed(spark, sf, "epub")
+
+
+@query("src_damaged", r"""
+SELECT 'd' || doc_id AS path, CASE doc_id % 4 WHEN 0 THEN 'BadZipFile' WHEN 1 THEN 'KeyError' ELSE 'ParseError' END AS reason FROM documents WHERE doc_id % 4 < 3""")
+def src_damaged(spark, sf):
+    """SRC13: files that are cut off, lack their text or hold broken XML give their reasons; the others are read."""
+    import io
+    import zipfile
+
+    from scriptoria.sources.arrow import flat_mapped
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+
+    def rows(doc, text):
+        out, n = io.BytesIO(), doc % 4
+        with zipfile.ZipFile(out, "w") as z:
+            words = (text or "").replace("&", " ").replace("<", " ")
+            z.writestr("word/other.xml" if n == 1 else "word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>{''.join(c for c in words if c >= ' ')}</w:t></w:r></w:p>" + "</w:body></w:document>" * (n != 2))
+        yield (f"d{doc}", out.getvalue()[:-30] if n == 0 else out.getvalue())
+
+    files = flat_mapped(table(spark, sf, "documents").select("doc_id", "text"), "path string, content binary", rows)
+    return packages.failures_of(files, "docx").select("path", F.substring_index("reason", ":", 1).alias("reason"))
+
+
+def _pdf_of(doc, text) -> bytes:
+    """A document as PDF: 30 lines a page in a font whose codes are shifted, which only its character map tells; a bookmark a page."""
+    import zlib
+
+    lines = [" ".join(x.split()) for x in (text or "").split("\n")]
+    pages = [lines[i : i + 30] for i in range(0, len(lines), 30)]
+    units = sorted({u for x in lines for u in struct.unpack(f">{len(x.encode('utf-16-be')) // 2}H", x.encode("utf-16-be")) if not 0xD800 <= u < 0xE000})
+    pairs = sorted({c for x in lines for c in x if c > "\uffff"})
+    codes = {chr(u): (n + 7).to_bytes(2).hex() for n, u in enumerate(units)} | {c: (n + 7 + len(units)).to_bytes(2).hex() for n, c in enumerate(pairs)}
+    cmap = "1 begincodespacerange <0000> <ffff> endcodespacerange " + " ".join(f"1 beginbfchar <{k}> <{c.encode('utf-16-be').hex()}> endbfchar" for c, k in codes.items())
+    out = [b"<< /Type /Catalog /Pages 2 0 R /Outlines 5 0 R >>", b"", b"<< /Subtype /Type0 /DescendantFonts [<< /DW 600 >>] /ToUnicode 4 0 R >>", b"", b""]
+
+    def stream(body: str) -> bytes:
+        data = zlib.compress(body.encode())
+        return b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(data), data)
+
+    out[3] = stream(cmap)
+    for i, page in enumerate(pages):
+        shown = " T* ".join(f"<{''.join(codes[c] for c in x)}> Tj" for x in page)
+        out += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (len(out) + 2), stream(f"BT /F 10 Tf 14 TL 40 800 Td {shown} ET")]
+        out.append(b"<< /Title (Page %d) /Dest [%d 0 R /Fit]%s >>" % (i + 1, len(out) - 1, b" /Next %d 0 R" % (len(out) + 4) if i + 1 < len(pages) else b""))
+    out[1] = b"<< /Type /Pages /Kids [%s] /Resources << /Font << /F 3 0 R >> >> >>" % b" ".join(b"%d 0 R" % (6 + 3 * i) for i in range(len(pages)))
+    out[4] = b"<< /First 8 0 R >>"
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, x) for i, x in enumerate(out, 1)) + b"trailer << /Root 1 0 R >>"
+
+
+def _pdfs(spark, sf):
+    from scriptoria.sources.arrow import flat_mapped
+
+    def rows(doc, text):
+        yield (f"d{doc}", _pdf_of(doc, text))
+
+    return flat_mapped(table(spark, sf, "documents").select("doc_id", "text"), "path string, content binary", rows)
+
+
+@query("src_pdf", rf"""
+WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+w AS (SELECT doc_id, i, array_to_string({sql_words("line")}, ' ') AS line FROM l)
+SELECT 'd' || doc_id AS path, CAST(i // 30 + 1 AS INTEGER) AS page, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (line <> ''), '')) AS digest FROM w GROUP BY doc_id, i // 30""")
+def src_pdf(spark, sf):
+    """SRC16: the text layer of PDF files, page by page."""
+    return pdf.pages_of(_pdfs(spark, sf)).where("reason is null").select("path", "page", F.sha2("text", 256).alias("digest"))
+
+
+@query("src_pdf_outline", """
+SELECT 'd' || doc_id AS path, CAST(p - 1 AS INTEGER) AS ord, 'Page ' || p AS title, CAST(1 AS INTEGER) AS level, CAST(p AS INTEGER) AS page FROM (SELECT doc_id, unnest(range(1, CAST(ceil(len(string_split(text, chr(10))) / 30.0) AS BIGINT) + 1)) AS p FROM documents)""")
+def src_pdf_outline(spark, sf):
+    """SRC16, ING8: the bookmarks of PDF files and their pages."""
+    return pdf.bookmarks_of(_pdfs(spark, sf))

@@ -11,7 +11,7 @@ from scriptoria.functions import numbers as N
 from scriptoria.functions import records
 from scriptoria.functions import text as T
 from scriptoria.operators import model, reduce, sections, segments, verify
-from scriptoria.sources import blocks, detect, markup, packages, subtitles
+from scriptoria.sources import blocks, detect, markup, packages, pdf, subtitles
 from scriptoria.streaming import projection
 
 
@@ -139,11 +139,153 @@ def test_packages():
     assert packages.rtf_text(b"{\\rtf1\\ansi\\ansicpg1252{\\fonttbl{\\f0 X;}}caf\\'e9 \\u8364?\\par{\\*\\x no}b\\{}") == "café €\nb{"
 
 
+def test_rows_of_nested_tables_come_out_once():
+    inner = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>in</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+    cell = lambda x: f"<w:tc>{x}</w:tc>"
+    p = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    body = f"<w:tbl><w:sdt><w:sdtContent><w:tr>{cell(p('out') + inner)}{cell(p('a') + p('b'))}</w:tr></w:sdtContent></w:sdt><w:tr>{cell(p(''))}{cell(p('z'))}</w:tr></w:tbl>" + p("after")
+    docx = zipped(word__document_x_xml=f"<w:document {W}><w:body>{body}</w:body></w:document>")
+    assert [b[:2] for b in packages.docx_blocks(docx)] == [("table_row", "out in | a b"), ("table_row", " | z"), ("paragraph", "after")]
+    ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0"'
+    nested = "<table:table><table:table-row><table:table-cell><text:p>in</text:p></table:table-cell></table:table-row></table:table>"
+    rows = f"<table:table><table:table-header-rows><table:table-row><table:table-cell><text:p>out</text:p>{nested}</table:table-cell><table:table-cell><text:p>b</text:p></table:table-cell></table:table-row></table:table-header-rows></table:table>"
+    odt = zipped(content_x_xml=f"<office:document-content {ns}><office:body><office:text>{rows}</office:text></office:body></office:document-content>")
+    assert [b[:2] for b in packages.odt_blocks(odt)] == [("table_row", "out in | b")]
+
+
+def test_paragraphs_keep_boxes_and_leave_out_what_was_deleted():
+    box = "<w:r><w:pict><w:txbxContent><w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></w:pict></w:r>"
+    old = "<w:pPrChange><w:pPr><w:outlineLvl w:val='0'/></w:pPr></w:pPrChange>"
+    body = f"<w:p><w:pPr><w:tabs><w:tab w:val='left'/></w:tabs>{old}</w:pPr><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t><w:noBreakHyphen/></w:r><w:ins><w:r><w:t>c</w:t></w:r></w:ins><w:del><w:r><w:delText>d</w:delText></w:r></w:del>{box}</w:p><w:p><w:pPr><w:outlineLvl w:val='2'/></w:pPr><w:r><w:t>H</w:t></w:r></w:p><w:p><w:pPr><w:pStyle w:val='Ring'/></w:pPr><w:r><w:t>r</w:t></w:r></w:p>"
+    styles = f"<w:styles {W}><w:style w:type='paragraph' w:styleId='Ring'><w:basedOn w:val='Other'/></w:style><w:style w:type='paragraph' w:styleId='Other'><w:basedOn w:val='Ring'/></w:style></w:styles>"
+    docx = zipped(word__document_x_xml=f"<w:document {W}><w:body>{body}</w:body></w:document>", word__styles_x_xml=styles)
+    assert [(b[0], b[1], b[3]) for b in packages.docx_blocks(docx)] == [("paragraph", "a b-cboxed", None), ("heading", "H", 3), ("paragraph", "r", None)]
+
+
+def test_damaged_files_give_reasons_and_stop_nothing(spark):
+    good = zipped(word__document_x_xml=f"<w:document {W}><w:body><w:p><w:r><w:t>ok</w:t></w:r></w:p></w:body></w:document>")
+    locked = bytearray(good)
+    for at in (good.index(b"PK\1\2") + 8, 6):  # the flag of an encrypted member
+        locked[at] |= 1
+    broken = zipped(word__document_x_xml=f"<w:document {W}><w:body>")
+    files = [("a", good), ("b", good[:-30]), ("c", bytes(locked)), ("d", broken), ("e", b""), ("f", None), ("g", zipped(other=b"x"))]
+    df = spark.createDataFrame([(p, bytearray(d) if d is not None else None) for p, d in files], "path string, content binary")
+    assert [(r.path, r.text) for r in packages.blocks_of(df, "docx").collect()] == [("a", "ok")]
+    found = {r.path: r.reason.split(":")[0] for r in packages.failures_of(df, "docx").collect()}
+    assert found == {"b": "BadZipFile", "c": "RuntimeError", "d": "ParseError", "e": "BadZipFile", "f": "ValueError", "g": "KeyError"}
+    odd = [("x", b"{\\rtf1 caf\\'e9"), ("y", b"\xff\xfe"), ("z", None)]
+    df = spark.createDataFrame([(p, bytearray(d) if d is not None else None) for p, d in odd], "path string, content binary")
+    assert {r.path for r in packages.failures_of(df, "rtf").collect()} == {"z"}
+
+
+def test_the_first_declaration_of_an_encoding_counts(spark):
+    heads = ['<?xml version="1.0" encoding="KOI8-R"?><meta charset="utf-8">', '<meta http-equiv=x content="text/html; charset=Latin1"><?xml encoding="a"?>', "<meta name=x>", "<META CHARSET = utf-16>", "<metadata charset=x>"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, h string")
+    assert [r.x for r in df.orderBy("i").select(markup.declared_charset(F.col("h")).alias("x")).collect()] == ["koi8-r", "cp1252", None, "utf-16", None]
+
+
+def test_sentences_keep_all_characters(spark):
+    texts = ["a\ufdd0b. C\ufdd1d! E", "e.g. i.e. etc. x. Y", "\ufdd1", ". x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got: dict = {}
+    for r in segments.sentence_spans(df).orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+        assert texts[r.doc_id][r.start : r.end] == r.text
+    assert got == {0: ["a\ufdd0b. ", "C\ufdd1d! ", "E"], 1: ["e.g. i.e. etc. x. ", "Y"], 2: ["\ufdd1"], 3: [". ", "x"]}
+
+
+def test_packs_leave_without_a_shuffle_and_in_proportion(spark):
+    import time
+
+    text = " ".join(f"Sentence number {i} of this long document." for i in range(6000))
+    seconds = []
+    for k in (1, 1, 10):  # the first run starts the JVM's code
+        df = spark.createDataFrame([(1, " ".join([text] * k))], "doc_id long, text string").cache()
+        df.count()
+        began = time.time()
+        rows = segments.packed_sentences(df, 1000).collect()
+        seconds.append(time.time() - began)
+        assert "".join(r.text for r in rows) == df.first().text and all(r.tokens <= 1000 for r in rows)
+        assert [r.start for r in rows[1:]] == [r.end for r in rows[:-1]]
+    assert seconds[2] < 30 * max(seconds[1], 0.2)
+    assert "Exchange" not in segments.packed_sentences(df, 1000)._jdf.queryExecution().toString()
+
+
+def pdf_file(objects: list[bytes], trailer: bytes = b"<< /Root 1 0 R >>") -> bytes:
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, x) for i, x in enumerate(objects, 1)) + b"trailer " + trailer + b"\n%%EOF"
+
+
+def pdf_stream(body: bytes, facts: bytes = b"", packed: bool = True) -> bytes:
+    import zlib
+
+    body = zlib.compress(body) if packed else body
+    return b"<< /Length %d %s %s >>\nstream\n%s\nendstream" % (len(body), b"/Filter /FlateDecode" * packed, facts, body)
+
+
+CMAP = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <00e9> endbfchar 2 beginbfrange <0041> <005a> <0041> <0061> <0062> [<0066006c> <d83dde00>] endbfrange"
+
+
+def test_pdf_text_layer_and_bookmarks():
+    one = b"BT /F1 12 Tf 14 TL 72 700 Td (Caf\\351 \\(x\\)) Tj T* [(wi) 20 (de) -400 (gap)] TJ (next) ' ET q 1 0 0 1 0 -500 cm /X1 Do Q BT /F1 20 Tf 300 700 Td (Far) Tj ET BI /W 1 ID (junk) Tj EI"
+    two = b"BT /F2 10 Tf 1 0 0 1 50 500 Tm <00410042006100620001> Tj ET"
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R /Outlines 9 0 R /Names << /Dests << /Names [(there) [4 0 R /Fit]] >> >> >>",
+        b"<< /Type /Pages /Kids [3 0 R 12 0 R] /Count 2 /Resources << /Font << /F1 5 0 R /F2 6 0 R >> /XObject << /X1 8 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents 10 0 R >>", b"<< /Type /Page /Contents [11 0 R] >>",
+        b"<< /Subtype /Type1 /BaseFont /Helvetica-Bold /Encoding << /BaseEncoding /WinAnsiEncoding /Differences [1 /fi /eacute] >> >>",
+        b"<< /Subtype /Type0 /DescendantFonts [<< /W [65 [600 600] 97 98 500] >>] /ToUnicode 7 0 R >>", pdf_stream(CMAP), pdf_stream(b"BT /F1 8 Tf 72 600 Td <0102> Tj ET", b"/Subtype /Form"),
+        b"<< /First 13 0 R >>", pdf_stream(one), pdf_stream(two, packed=False), b"<< /Kids [4 0 R 2 0 R] >>",
+        b"<< /Title (Part \\(1\\)) /Dest [3 0 R /Fit] /Next 14 0 R /First 15 0 R >>", b"<< /Title <feff00c90032> /A << /S /GoTo /D (there) >> /Next 13 0 R >>", b"<< /Title (In it) >>",
+    ]
+    data = pdf_file(objects)
+    found = list(pdf.read(data))
+    assert [(n, [x.text() for x in lines], why) for n, lines, why in found] == [(1, ["Café (x)", "wide gap", "next", "fié", "Far"], None), (2, ["ABfl\U0001f600é"], None)]
+    assert [(x.size, x.bold, x.y) for x in found[0][1]] == [(12, True, 700), (12, True, 686), (12, True, 672), (8, True, 100), (20, True, 700)]
+    assert pdf.bookmarks(pdf.Document(data)) == [("Part (1)", 1, 1), ("In it", 2, None), ("É2", 1, 2)]
+
+
+def test_pdf_object_streams_and_damage():
+    import zlib
+
+    packed = b"1 0 2 33 << /Type /Catalog /Pages 2 0 R >>   << /Type /Pages /Kids [3 0 R] >>"
+    first = packed.index(b"<<")
+    packed = packed.replace(b"2 33", b"2 %d" % (packed.index(b"<< /Type /Pages") - first))
+    body = zlib.compress(packed)
+    data = b"%PDF-1.5\n3 0 obj << /Contents 4 0 R /Resources << /Font << /F 5 0 R >> >> >> endobj\n4 0 obj " + pdf_stream(b"BT /F 9 Tf (ok) Tj ET") + b" endobj\n5 0 obj << /Subtype /Type1 >> endobj\n6 0 obj << /Type /ObjStm /N 2 /First %d /Length %d /Filter /FlateDecode >>\nstream\r\n" % (first, len(body)) + body + b"\nendstream endobj\n7 0 obj << /Type /XRef /Root 1 0 R /Length 0 >>\nstream\n\nendstream endobj"
+    assert [[x.text() for x in lines] for _, lines, _ in pdf.read(data)] == [["ok"]]
+    rng, plain = random.Random(1), bytes(random.Random(1).randrange(256) for _ in range(60))
+    near = lambda g, *x: min(x, key=lambda v: abs(g - v))
+    stored = bytearray()
+    for r in range(10):  # each row by a filter of its own, three columns of two bytes
+        kind = r % 5
+        stored.append(kind)
+        for i in range(6):
+            at = r * 6 + i
+            left, up, corner = plain[at - 2] if i > 1 else 0, plain[at - 6] if r else 0, plain[at - 8] if r and i > 1 else 0
+            stored.append((plain[at] - (0, left, up, (left + up) // 2, near(left + up - corner, left, up, corner))[kind]) % 256)
+    assert pdf.Document(data)._unpredicted(bytes(stored), {"Predictor": 15, "Columns": 3, "Colors": 2}) == plain
+    broken = data.replace(pdf_stream(b"BT /F 9 Tf (ok) Tj ET"), b"<< /Length 4 /Filter /FlateDecode >>\nstream\nnope\nendstream")
+    assert [(n, lines, why.split(":")[0]) for n, lines, why in pdf.read(broken)] == [(1, [], "Damaged")]
+    for bad, why in ((b"", "not a PDF"), (b"%PDF-1.4 nothing", "no catalog"), (pdf_file([b"<< /Pages 2 0 R >>", b"<< /Kids [2 0 R] >>"]), "no pages"), (pdf_file([b"<< /Pages 2 0 R >>"], b"<< /Root 1 0 R /Encrypt 9 0 R >>"), "encrypted"), (pdf_file([b"<< /Pages 1 0 R >>"]) + b"2 0 obj (((", None)):
+        assert why is None or [(n, r) for n, _, r in pdf.read(bad)] == [(None, f"Damaged: {why}")]
+    rng = random.Random(3)
+    for _ in range(300):
+        noise = bytearray(data)
+        for _ in range(rng.randint(1, 12)):
+            noise[rng.randrange(9, len(noise))] = rng.randrange(256)
+        list(pdf.read(bytes(noise)))
+
+
 def test_detection_and_decoding():
     assert detect.detected(b"GIF89a\0\0\1", "x.png") == (None, "gif image")
     assert detect.detected("1\n00:00:01,000 --> x".encode("utf-16"), "x") == ("srt", None)
     assert detect.detected(b"PK\3\4broken", "x.zip") == (None, "damaged package")
     assert detect.detected(b"", "x.txt") == (None, "not text")
+    assert detect.detected(b" \n%PDF-1.7", "x.txt") == ("pdf", None) and detect.detected(b"\0\1junk %PDF-1.7", "x") == ("pdf", None)
+    assert detect.detected(b"\xef\xbb\xbf {\\rtf1 a}", "x.txt") == ("rtf", None) and detect.detected(b"II*\0" + bytes(9), "x") == ("tiff", None)
+    for text, kind in (("<?xml version='1.0'?> <!-- a --><!-- b -->\n<!DOCTYPE  html>", "html"), ("<BODY class=x>", "html"), ("<html>", "html"), ("<!doctypehtml>", "txt"), ("<headline>", "txt"), ("<!-- never closed <html>", "txt"), ("7 \r\n 1:02:03.4 --> x", "srt"), ("WEBVTT x", "vtt"), ("plain", "txt")):
+        assert detect.detected(text.encode(), "x") == (kind, None), text
+    assert detect.detected(b"<html>", "x.md") == ("md", None)
     assert detect.decoded(b"\xef\xbb\xbfa")[:2] == ("a", "utf-8")
     assert detect.decoded("caf\xe9 d\xe9j\xe0 vu, na\xefve".encode("cp1252"))[0] == "café déjà vu, naïve"
     assert detect.decoded("жук".encode("koi8-r"), "koi8-r")[0] == "жук"
