@@ -59,12 +59,13 @@ def stm_projection(spark, sf):
 
 @query("stm_stream", f"WITH RECURSIVE {_FOLD} SELECT {_SHOWN} FROM {_LAST}")
 def stm_stream(spark, sf):
-    """STM1 to STM4, STM7: the same rows by a stream with keyed state; the last row of each node is its state."""
-    path = f"{sf}/events.parque[t]"  # a pattern, as the table may be a file or a folder
-    schema = table(spark, sf, "events").schema
+    """STM1 to STM4: the same rows by a stream with keyed state, to which events come out of order in several files; the last row of each node is its state."""
+    events = log(table(spark, sf, "events"))
     root = f"{reduce.shared_root(spark)}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
-    projection.run_stream(projection.streamed(log(source)), f"{root}/rows", f"{root}/checkpoint")
+    for part in (1, 2, 0):  # one micro-batch each, in the order of writing
+        events.where(F.floor(F.col("event_id") / 3) % 3 == part).write.mode("append").parquet(f"{root}/in/part={(part - 1) % 3}")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in/part=*")
+    projection.run_stream(projection.streamed(source), f"{root}/rows", f"{root}/checkpoint")
     rows = spark.read.parquet(f"{root}/rows")
     return _shown(projection.latest(rows.withColumnRenamed("batch", "version"), projection.KEYS, "version"))
 
@@ -94,6 +95,17 @@ def stm_suppress(spark, sf):
     return projection.changed(s, "user_id", "event_id", ["event_type", "parity"]).select("user_id", "event_id", "event_type")
 
 
+@query("stm_throttled", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT user_id, n, event_id, s AS written, true AS due FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN e.s - w.written >= 86400 THEN e.s ELSE w.written END, e.s - w.written >= 86400 FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT user_id, event_id, NOT due AS flushed FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS m FROM w) WHERE due OR n = m""")
+def stm_throttled(spark, sf):
+    """STM7: snapshots are written a day apart at least, and the last one at the end."""
+    s = table(spark, sf, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return projection.throttled(s, "user_id", "at", "event_id", 86400.0)
+
+
 @query("stm_merge", "SELECT user_id, event_type, max(event_id) AS version, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
 def stm_merge(spark, sf):
     """STM10: two deliveries of events are merged, the newest wins."""

@@ -6,13 +6,17 @@ keeps the times of an earlier attempt that completed it, else it has none; summa
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVENT = "run_id long, node_id string, event_id long, ts timestamp, state string, summary string, message string"
 ROW = "state string, started_at timestamp, completed_at timestamp, summary string, error string, provisional boolean, updated_event_id long"
+#: A node's latest events that the stream holds back, so that one which arrives late is folded in its own place.
+HELD = 64
 KEYS = ["run_id", "node_id"]
 
 
@@ -44,6 +48,14 @@ def projected(events: DataFrame) -> DataFrame:
     return rows.select(*KEYS, F.aggregate("e", start, folded).alias("r")).select(*KEYS, "r.*")
 
 
+class Event(NamedTuple):
+    event_id: int
+    ts: object
+    state: str
+    summary: str | None
+    message: str | None
+
+
 def apply(row: tuple | None, e) -> tuple:
     """The same rules in Python, for the stream's state; row and result are in ROW's order."""
     state, started, completed, summary, _, provisional, _ = row or (None, None, None, None, None, True, None)
@@ -61,8 +73,12 @@ def apply(row: tuple | None, e) -> tuple:
     return ("failed", started, None, summary, e.message if e.message is not None else "Failed", provisional, e.event_id)
 
 
-def streamed(events: DataFrame) -> DataFrame:
-    """The projection as a stream: each micro-batch emits the rows of the nodes that it touched."""
+def streamed(events: DataFrame, held: int = HELD) -> DataFrame:
+    """The projection as a stream: each micro-batch emits the rows of the nodes that it touched.
+
+    A node's state is the row of all but its `held` latest events, the id of the last event in that row, and those events. An
+    event that arrives late is put in its place among them and the row is folded anew; one older than all of them is dropped,
+    and so is one that is delivered again. The state doesn't grow beyond that."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -74,14 +90,38 @@ def streamed(events: DataFrame) -> DataFrame:
         return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v
 
     def update(key, parts, state) -> Iterator[pd.DataFrame]:
-        row = tuple(map(clean, state.get)) if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("event_id")
-        for e in rows.itertuples(index=False):
-            row = apply(row, e._replace(summary=clean(e.summary), message=clean(e.message)))
-        state.update(row)
-        yield pd.DataFrame([(*key, *row)], columns=[*KEYS, *(c.split()[0] for c in ROW.split(", "))])
-
-    return events.groupBy(*KEYS).applyInPandasWithState(update, f"run_id long, node_id string, {ROW}", ROW, "update", GroupStateTimeout.NoTimeout)
+        *base, last, recent = map(clean, state.get) if state.exists else (*[None] * 7, -1, "[]")
+        base = tuple(base) if base[0] is not None else None
+        kept = {e[0]: Event(e[0], pd.Timestamp(e[1]) if e[1] else None, *e[2:]) for e in json.loads(recent)}
+        for e in pd.concat(list(parts)).itertuples(index=False):
+            if e.event_id > last and e.event_id not in kept:
+                kept[e.event_id] = Event(int(e.event_id), clean(e.ts), e.state, clean(e.summary), clean(e.message))
+        row, order = base, sorted(kept)
+        for i, n in enumerate(order):
+            row = apply(row, kept[n])
+            if i == len(order) - held - 1:
+                base, last = row, n
+        state.update((*(base or [None] * 7), last, json.dumps([(*e[:1], e.ts.isoformat() if e.ts is not None else None, *e[2:]) for e in (kept[n] for n in order if n > last)])))
+        if row is not None:
+            yield pd.DataFrame([(*key, *row)], columns=[*KEYS, *(c.split()[0] for c in ROW.split(", "))])
+
+    return events.groupBy(*KEYS).applyInPandasWithState(update, f"run_id long, node_id string, {ROW}", f"{ROW}, last_event_id long, recent string", "update", GroupStateTimeout.NoTimeout)
+
+
+def throttled(snapshots: DataFrame, key: str, at: str, order: str, interval: float) -> DataFrame:
+    """The snapshots that are written (key, at in seconds, order): the first of a key, then each that comes `interval` seconds or more after the
+    one written before it, and the last, which is flushed at the end if it was held back (flushed)."""
+    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(at).cast("double").alias("at"))))
+    start = F.struct(F.array().cast(f"array<{dict(snapshots.dtypes)[order]}>").alias("written"), F.lit(None).cast("double").alias("last"))
+
+    def step(s, e):
+        due = s["last"].isNull() | (e["at"] - s["last"] >= interval)
+        return F.when(due, F.struct(F.concat(s["written"], F.array(e["order"])).alias("written"), e["at"].alias("last"))).otherwise(s)
+
+    found = snapshots.groupBy(key).agg(steps.alias("e")).select(key, F.aggregate("e", start, step, lambda s: s["written"]).alias("w"), F.element_at("e", -1)["order"].alias("end"))
+    every = F.when(F.array_contains("w", F.col("end")), F.col("w")).otherwise(F.concat("w", F.array("end")))
+    rows = found.select(key, "w", F.explode(every).alias(order))
+    return rows.select(key, order, (~F.array_contains("w", F.col(order))).alias("flushed"))
 
 
 def latest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
