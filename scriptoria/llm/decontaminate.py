@@ -7,10 +7,11 @@ of at least SPAN words are contamination. An item of fewer words is one window o
 by the hashes of all grams of that length, as winnowing guarantees nothing below SPAN.
 
 The test set's fingerprints travel to the executors only while their number is within a checked bound; beyond
-it they are joined by a shuffle in which hot fingerprints are dealt out by salt.
+it they are joined by a shuffle in which hot fingerprints and hot items are dealt out by salt.
 
 Edge cases: null text has no words; an item without words has no window; repeated items each count by their
-item_id; an empty benchmark leaves all documents clean."""
+item_id; an empty benchmark leaves all documents clean; rows that share a doc_id, or have none, are judged each by its
+text, whichever way the benchmark travels."""
 
 from __future__ import annotations
 
@@ -165,15 +166,27 @@ def _report(batch, words: Words, found: dict) -> dict:
     return out | {"doc_id": batch.column("doc_id"), "n_words": n, "contaminated": [x > 0 for x in out["n_hit"]]}
 
 
+def _own(docs: DataFrame) -> DataFrame:
+    """docs with what tells its texts apart: doc_id, which may be null, and a hash of the text."""
+    return docs.withColumn("own", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")))
+
+
+def _sent(spark, items: DataFrame, sent_words: int):
+    """A broadcast index of the items (item_id, text), or None beyond sent_words."""
+    size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    if (size[0] or 0) // 2 + size[1] > sent_words:  # a word has at least a byte and a separator
+        return None
+    rows = items.collect()
+    return spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, sent_words: int = SENT_WORDS) -> DataFrame:
     """A row per document: words, hit words, item_ids and the hit spans (from, to) in words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    if (size[0] or 0) // 2 + size[1] > sent_words:  # a word has at least a byte and a separator
-        return _by_shuffle(docs, items)
-    rows = items.collect()
-    index = docs.sparkSession.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+    index = _sent(docs.sparkSession, items, sent_words)
+    if index is None:
+        return _summed(docs, _shared(docs, items))
 
     def work(batch):
         words = Words(batch.column("text"))
@@ -208,16 +221,19 @@ def _prints(df: DataFrame, key: str, lengths: list | None) -> DataFrame:
     return common.arrow_map(df.select(key, "text"), f"key {kind}, print long", work).withColumnRenamed("key", key)
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same rows for a benchmark of any size: fingerprints are joined, items come to the documents that share one."""
+def _shared(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """own, item_id, spans, n of documents and items that share a window, for a benchmark of any size: fingerprints are
+    joined, then items come to the documents that share one."""
     n_words = common.arrow_map(items.select("text"), "n long", lambda batch: {"n": np.diff(Words(batch.column("text")).first)})
     lengths = [r[0] for r in n_words.where(f"n > 0 and n < {SPAN}").distinct().collect()]  # SPAN - 1 at most
-    docs = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("own", F.struct("doc_id", "text_hash"))
+    docs = _own(docs)
     items = items.withColumn("item", F.struct("item_id", F.xxhash64("text").alias("item_hash")))
-    asked = _prints(docs, "own", lengths).withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)))
-    known = _prints(items, "item", None).distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    salt, every = F.pmod(F.xxhash64("own"), F.lit(SALTS)), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    asked = _prints(docs, "own", lengths).withColumn("salt", salt)
+    known = _prints(items, "item", None).distinct().withColumn("salt", every)
     pairs = common.stored(asked.join(known, ["print", "salt"]).select("own", "item").distinct(), "shared-prints")
-    judged = pairs.join(items.select("item", F.col("text").alias("item_text")).dropDuplicates(["item"]), "item").join(docs.select("own", "text").dropDuplicates(["own"]), "own")
+    dealt = items.select("item", F.col("text").alias("item_text")).dropDuplicates(["item"]).withColumn("salt", every)
+    judged = pairs.withColumn("salt", salt).join(dealt, ["item", "salt"]).drop("salt").join(docs.select("own", "text").dropDuplicates(["own"]), "own")
 
     def check(batch):
         words, n = Words(batch.column("text")), batch.num_rows
@@ -229,7 +245,11 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
         return {"own": batch.column("own"), "item_id": [str(x) for x in item_ids], "spans": spans, "n": np.diff(words.first)}
 
     own_kind = dict(docs.dtypes)["own"]
-    found = common.arrow_map(judged.select("own", F.col("item.item_id").alias("item_id"), "item_text", "text"), f"own {own_kind}, item_id string, spans array<array<long>>, n long", check).where("size(spans) > 0")
+    return common.arrow_map(judged.select("own", F.col("item.item_id").alias("item_id"), "item_text", "text"), f"own {own_kind}, item_id string, spans array<array<long>>, n long", check).where("size(spans) > 0")
+
+
+def _summed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    docs = _own(docs)
     grouped = found.groupBy("own").agg(F.collect_set("item_id").alias("items"), F.collect_set("spans").alias("all_spans"))
 
     def sum_up(batch):
@@ -249,23 +269,21 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window occurs."""
-    keyed = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    bench = common.table(spark, sf_dir, "benchmark")
-    size = bench.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    if (size[0] or 0) // 2 + size[1] > SENT_WORDS:
-        hit = contamination(docs, bench).where("contaminated").select("doc_id").distinct()
-        return keyed.join(hit, "doc_id", "left_anti")
-    rows = bench.select("item_id", F.col("text").cast("string").alias("text")).collect()
-    index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
+def stage(spark, docs: DataFrame, sf_dir: str, sent_words: int = SENT_WORDS) -> DataFrame:
+    """Drops documents in which a benchmark window occurs, each row by its own text."""
+    keyed = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("text", F.col("text").cast("string"))
+    items = common.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("string").alias("text"))
+    index = _sent(spark, items, sent_words)
+    if index is None:
+        hit = _shared(keyed.select("doc_id", "text"), items).select("own").distinct()
+        return _own(keyed).join(hit, "own", "left_anti").select(*keyed.columns)
 
     def work(batch):
         hit = hits(Words(batch.column("text")), index.value)
         keep = pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64())
         return {name: batch.column(name).take(keep) for name in batch.schema.names}
 
-    return common.arrow_map(keyed.withColumn("text", F.col("text").cast("string")), ", ".join(f"{c} {t}" for c, t in keyed.dtypes), work)
+    return common.arrow_map(keyed, ", ".join(f"{c} {t}" for c, t in keyed.dtypes), work)
 
 
 ORACLE = r"""
