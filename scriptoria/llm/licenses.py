@@ -45,7 +45,8 @@ def group_length(n: int) -> int:
 
 
 class Library:
-    """Templates by (words of a shingle, L): their shingle sets and minima under each hash."""
+    """Templates by (words of a shingle, L): their shingle sets, and for each band all minima in order with the templates that
+    have them, so that a window's minimum is looked up, however many templates there are."""
 
     def __init__(self, templates, bands: int = BANDS, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -60,6 +61,12 @@ class Library:
             own = np.unique(grams(words.hashes, words.first, k)[0])
             length = group_length(len(words.hashes) - k + 1)
             self.groups.setdefault(k, {}).setdefault(length, []).append((name, own, (own[None, :] * self.scale[:, None] + self.shift[:, None]).min(axis=1)))
+        self.minima = {}
+        for k, lengths in self.groups.items():
+            for length, own in lengths.items():
+                every = np.stack([minima for _, _, minima in own], axis=1)  # (bands, templates)
+                order = np.argsort(every, axis=1, kind="stable")
+                self.minima[k, length] = np.take_along_axis(every, order, 1), order
 
 
 def scan(words: Words, library: Library) -> dict[tuple[int, str], tuple[float, int, int]]:
@@ -78,7 +85,7 @@ def scan(words: Words, library: Library) -> dict[tuple[int, str], tuple[float, i
             of = np.repeat(np.arange(len(rows)), blocks)
             number = np.arange(blocks.sum()) - begin[of]
             layout[length] = (first[rows][of] + number * length, of, number, np.flatnonzero((number < blocks[of] - 1) | (blocks[of] == 1)), blocks)
-        asked = {(length, t): [] for length, own in lengths.items() for t in range(len(own))}
+        asked: dict[int, list] = {length: [] for length in lengths}  # window * templates + template
         for b in range(len(library.scale)):
             v = h * library.scale[b]
             v += library.shift[b]
@@ -90,16 +97,22 @@ def scan(words: Words, library: Library) -> dict[tuple[int, str], tuple[float, i
                 both = np.r_[both, least[-1:]]
                 single = windows[layout[length][4][of[windows]] == 1] if length > 1 or (n[rows] == 1).any() else windows[:0]
                 both[single] = least[single]
-                for t, (_, _, minima) in enumerate(own):
-                    hit = np.flatnonzero(both == minima[b])
-                    if len(hit):
-                        asked[length, t].append(hit)
-        for (length, t), hit in asked.items():
+                minima, order = library.minima[k, length]
+                lo = np.searchsorted(minima[b], both, "left")
+                hit = np.flatnonzero(minima[b][np.minimum(lo, len(own) - 1)] == both)
+                if len(hit):
+                    n_equal = np.searchsorted(minima[b], both[hit], "right") - lo[hit]
+                    place = np.repeat(lo[hit], n_equal) + np.arange(n_equal.sum()) - np.repeat(np.cumsum(n_equal) - n_equal, n_equal)
+                    asked[length].append(np.repeat(hit, n_equal) * len(own) + order[b][place])
+        for length, hit in asked.items():
             if not hit:
                 continue
             at, of, number, windows, _ = layout[length]
-            name, own, _ = lengths[length][t]
-            for w in np.intersect1d(np.unique(np.concatenate(hit)), windows).tolist():
+            many, whole = len(lengths[length]), set(windows.tolist())
+            for w, t in zip(*(x.tolist() for x in np.divmod(np.unique(np.concatenate(hit)), many)), strict=True):
+                if w not in whole:
+                    continue
+                name, own, _ = lengths[length][t]
                 row = int(rows[of[w]])
                 window = np.unique(h[at[w] : min(at[w] + 2 * length, first[row + 1])])
                 share = len(np.intersect1d(window, own, assume_unique=True)) / len(own)
