@@ -452,28 +452,42 @@ def stored_media(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """A row per shot of each AVI: key, clip (from 0), start_s, end_s, first_frame, n_frames."""
+    """A row per shot of each AVI: key, clip (from 0), start_s, end_s, first_frame, n_frames, reason.
+
+    A file that can't be read (no AVI, cut off, without frames per second, damaged frames) gives one row with its reason and no
+    clip; a null one gives none."""
+
+    def read(raw):
+        """(AVI, histograms), or why not."""
+        try:
+            avi = Avi(raw)
+            if not avi.fps > 0:
+                raise ValueError("no frames per second")
+            return avi, frame_histograms([raw], [avi])[0], None
+        except (ValueError, LookupError, ArithmeticError, TypeError, struct.error) as e:
+            return None, None, f"{type(e).__name__}: {e}"[:200]
 
     def work(batch):
-        keep = [i for i, m in enumerate(batch.column("media").to_pylist()) if m is not None]
-        medias = [batch.column("media")[i].as_py() for i in keep]
-        avis = [Avi(m) for m in medias]
-        hist, _ = frame_histograms(medias, avis)
-        first = np.cumsum([0, *(len(a.places) for a in avis)])
-        begins = cuts(hist, first)
         rows, out = [], []
-        for k, a in zip(range(len(keep)), avis, strict=True):
-            at = [*np.flatnonzero(begins[first[k] : first[k + 1]]).tolist(), len(a.places)]
+        for i, raw in enumerate(batch.column("media").to_pylist()):
+            if raw is None:
+                continue
+            avi, hist, reason = read(raw)
+            if reason is not None:
+                rows.append(i)
+                out.append((None,) * 5 + (reason,))
+                continue
+            at = [*np.flatnonzero(cuts(hist, np.array([0, len(avi.places)]))).tolist(), len(avi.places)]
             for c, (s, e) in enumerate(zip(at, at[1:], strict=False)):
-                rows.append(keep[k])
-                out.append((c, s / a.fps, e / a.fps, s, e - s))
+                rows.append(i)
+                out.append((c, s / avi.fps, e / avi.fps, s, e - s, None))
         if not out:
             return None
-        return {"key": batch.column("key").take(pa.array(rows))} | dict(zip(("clip", "start_s", "end_s", "first_frame", "n_frames"), zip(*out, strict=True), strict=True))
+        return {"key": batch.column("key").take(pa.array(rows))} | dict(zip(("clip", "start_s", "end_s", "first_frame", "n_frames", "reason"), zip(*out, strict=True), strict=True))
 
     kind = dict(media.dtypes)[key]
     named = media.select(F.col(key).alias("key"), F.col(column).alias("media"))
-    return common.arrow_map(named, f"key {kind}, clip int, start_s double, end_s double, first_frame long, n_frames long", work).withColumnRenamed("key", key)
+    return common.arrow_map(named, f"key {kind}, clip int, start_s double, end_s double, first_frame long, n_frames long, reason string", work).withColumnRenamed("key", key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
