@@ -232,7 +232,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those whose language stays unclear."""
+    """Rejects documents without a letter and those whose language stays unclear; where no document is labelled nothing is
+    known of languages, and only those without a letter go."""
     net = trained(docs.select("doc_id", "text", "lang"))
+    if net is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}")).select("doc_id", "text", "lang", "source", "n_chars")
     seen = identified(docs.select("doc_id", "text", "lang", "source", "n_chars"), net)
     return seen.where((F.col("lang_pred") != UND) & (F.col("score") >= KEEP_SCORE)).select("doc_id", "text", "lang", "source", "n_chars")
