@@ -10,8 +10,10 @@ import json
 
 import numpy as np
 
-#: Pieces, and words, of one generation; what the last generation had is taken over when it is met again.
-PIECES, WORDS, TOGETHER = 600_000, 300_000, 500
+#: Bytes of pieces, and of words, with their ids, that one generation keeps (ENTRY is what an entry costs besides them); what
+#: the last generation had is taken over when it is met again. Longer pieces than LONG bytes are not kept: text without
+#: blanks is one piece.
+PIECE_BYTES, WORD_BYTES, ENTRY, LONG, TOGETHER = 120_000_000, 60_000_000, 160, 128, 500
 MARKS = ".,;:!?"
 
 _OPEN: dict = {}
@@ -37,6 +39,7 @@ class Encoder:
             model._resize_cache(0)
             self.model.model = model
         self.cache, self.old, self.words, self.old_words = {}, {}, {}, {}
+        self.cache_bytes = self.word_bytes = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -47,12 +50,12 @@ class Encoder:
         return [np.array(e.ids, self.kind) for e in by.encode_batch_fast(texts, add_special_tokens=False)]
 
     def met(self, pieces: set) -> dict[bytes, bytes]:
-        """The cache, in which ids of these pieces have been put."""
-        if len(self.cache) > PIECES:
-            self.old, self.cache = self.cache, {}
-        if len(self.words) > WORDS:
-            self.old_words, self.words = self.words, {}
-        out, old, words, old_words, marks = self.cache, self.old, self.words, self.old_words, self.marks
+        """ids of these pieces, which the cache didn't have; it keeps those that aren't long."""
+        if self.cache_bytes > PIECE_BYTES:
+            self.old, self.cache, self.cache_bytes = self.cache, {}, 0
+        if self.word_bytes > WORD_BYTES:
+            self.old_words, self.words, self.word_bytes = self.words, {}, 0
+        out, old, words, old_words, marks = {}, self.old, self.words, self.old_words, self.marks
         waiting, new, odd = [], {}, []
         for piece in pieces:
             ids = old.get(piece)
@@ -78,6 +81,7 @@ class Encoder:
                     waiting.append((piece, word, mark))
                     continue
                 words[word] = ids
+                self.word_bytes += len(word) + len(ids) + ENTRY
             out[piece] = ids + mark
         words_now = list(new)
         for at in range(0, len(words_now), 64 * TOGETHER):
@@ -95,7 +99,11 @@ class Encoder:
         for at in range(0, len(odd), 4096):
             for piece, got in zip(odd[at : at + 4096], self.many(self.tokenizer, [p.decode() for p in odd[at : at + 4096]]), strict=True):
                 out[piece] = got.tobytes()
-        words.update(new)
+        words.update((w, ids) for w, ids in new.items() if len(w) <= LONG)
+        kept = {p: ids for p, ids in out.items() if len(p) <= LONG}
+        self.cache.update(kept)
+        self.word_bytes += sum(len(w) + len(ids) + ENTRY for w, ids in new.items() if len(w) <= LONG)
+        self.cache_bytes += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
         return out
 
     def encode(self, texts: list) -> list[bytes]:
