@@ -130,9 +130,13 @@ def published(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kept", piece.alias("piece")))), lambda x: x["piece"]), "").alias("text"), F.count("*").alias("sentences"))
 
 
+#: Scripts that are written without blanks, so that a run of letters is no word.
+UNSEGMENTED = "[" + "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Khitan_Small_Script", "Khmer", "Lao", "Myanmar", "Nushu", "Tangut", "Thai")) + "]"
+
+
 def content_words(text: Column) -> Column:
-    """Words that carry content, in order, without common endings."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: ~w.isin(*FUNCTION_WORDS))
+    """Words that carry content, in order, without common endings; none of scripts that are written without blanks."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: ~w.isin(*FUNCTION_WORDS) & ~w.rlike(UNSEGMENTED))
     return F.transform(words, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(?:ing|edly|ed|ly|es|s)$", "")).otherwise(w))
 
 

@@ -312,6 +312,46 @@ def test_evidence_budget_passes_over_what_does_not_fit(spark):
     assert got.token_cost == len('{"segment_id":"S000003","text":"Ward 12 is here"}\n{"segment_id":"S000002","text":"alpha beta"}')
 
 
+def test_words_of_scripts_without_blanks_carry_no_content(spark):
+    assert one(spark, verify.content_words(F.lit("Words 日本語 ไทย カタカナ of running naïve"))) == ["word", "runn", "naïve"]
+
+
+def test_quotations_are_located_as_the_passage_has_them(spark):
+    passage = "He said: \u201cIt\u2019s (a) 10\u201312 $x | y\u201d\n  \u2014 and left."
+    cases = {'It\'s (a)  10-12 $x | y"': "It\u2019s (a) 10\u201312 $x | y\u201d", ' "It\u2019s ': "\u201cIt\u2019s", "- and\tleft.": "\u2014 and left.", "He said:": "He said:", "it's": None, "  ": None, "10.12": None, "": None}
+    df = spark.createDataFrame([(q, passage) for q in cases], "q string, p string")
+    assert {r.q: r.x for r in df.select("q", verify.located(F.col("q"), F.col("p")).alias("x")).collect()} == cases
+
+
+def test_items_are_asked_for_three_times_at_most():
+    asked = []
+
+    def ask(group, note):
+        asked.append((list(group), note))
+        return {i: i for i in group if len(group) <= i % 3}, {7: "about"}, {i: "too long" for i in group if i == 2}
+
+    got = model.settled(list(range(1, 8)), 4, ask)
+    assert [g for g, _ in asked] == [[1, 2, 3, 4], [5, 6, 7], [1, 2], [3, 4], [5, 6], [7], [1], [3], [4], [6]]
+    assert got[2] == (2, 2, 2, "accepted") and got[5] == (5, 2, 2, "accepted") and got[7] == (7, 2, 1, "accepted") and got[3][1:] == (3, 1, "omitted") and got[1][1:] == (3, 1, "accepted")
+    assert asked[2][1] == "omitted; too long" and model.settled([], 3, ask) == {}
+
+
+def test_the_stream_puts_late_events_in_their_place(spark, tmp_path):
+    rng, states = random.Random(11), ["planned", "active", "retrying", "completed", "reused", "failed"]
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    events = [(1, f"L0N{rng.randint(1, 3):04d}", i, t0 + datetime.timedelta(seconds=i), rng.choice(states), rng.choice([None, f"s{i}"]), None) for i in range(60)]
+    late = events[::2]
+    for n, part in enumerate((events[1::2], late + events[1:9:2])):  # some are delivered twice
+        spark.createDataFrame(part, projection.EVENT).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+    source = spark.readStream.schema(projection.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    projection.run_stream(projection.streamed(source), str(tmp_path / "rows"), str(tmp_path / "checkpoint"))
+    rows = projection.latest(spark.read.parquet(str(tmp_path / "rows")).withColumnRenamed("batch", "version"), projection.KEYS, "version").drop("version")
+    want = projection.projected(spark.createDataFrame(events, projection.EVENT))
+    assert sorted(map(str, rows.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_published_keeps_breaks_and_joins_lower_case(spark):
     rows = [(1, 1, "One. ", True), (1, 2, "Two of U.S. ", True), (1, 3, "law.\n\n", False), (1, 4, "Three. ", True), (1, 5, "Four.", True)]
     spans = spark.createDataFrame(rows, "doc_id long, ordinal int, text string, supported boolean")
