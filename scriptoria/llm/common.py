@@ -11,18 +11,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch and bytes of text worked on at once; both only bound memory.
-BATCH_ROWS, SLICE_BYTES = 512, 1 << 20
+#: Rows and bytes in one Arrow batch, and bytes of text worked on at once; they only bound memory.
+BATCH_ROWS, BATCH_BYTES, SLICE_BYTES = 512, 8 << 20, 1 << 20
+#: Rows for one file of a stored table whose number of rows is known; there are at least as many files as cores.
+FILE_ROWS = 500_000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Makes the package importable by Python workers and bounds Arrow batches."""
+    """Makes the package importable by Python workers and bounds Arrow batches, in rows and in bytes, for this session."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once into the shared folder and reads it back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Writes df once into the shared folder and reads it back: cuts lineage and survives lost executors.
+
+    rows: no more rows than that, if known; then tasks and files follow it, so that a loop's small tables aren't hundreds
+    of files. (On a local file system without Hadoop's native library each file also costs several processes.)"""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     _STORED.append(path)

@@ -19,9 +19,10 @@ def components(links: DataFrame) -> DataFrame:
     so that rounds are about the logarithm of the longest chain. A node's messages are combined before they are
     shuffled, so that a hot node isn't one task's work."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = common.stored(both.where("a <> b").distinct(), "edges")
+    rows = 2 * links.count()  # of edges; labels are fewer
+    edges = common.stored(both.where("a <> b").distinct(), "edges", rows)
     labels = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node")
-    labels = common.stored(labels.withColumn("moved", F.lit(True)), "labels")
+    labels = common.stored(labels.withColumn("moved", F.lit(True)), "labels", rows)
     number = 0
     while not labels.where("moved").isEmpty():
         number += 1
@@ -34,5 +35,5 @@ def components(links: DataFrame) -> DataFrame:
             fresh = fresh.join(told, "node", "left").select("node", "was", F.least("component", "told").alias("component"))
             jump = fresh.select(F.col("node").alias("component"), F.col("component").alias("further"))
             fresh = fresh.join(jump, "component").select("node", "was", F.col("further").alias("component"))
-        labels = common.stored(fresh.select("node", "component", (F.col("component") != F.col("was")).alias("moved")), "labels")
+        labels = common.stored(fresh.select("node", "component", (F.col("component") != F.col("was")).alias("moved")), "labels", rows)
     return labels.select("node", "component")
