@@ -99,13 +99,17 @@ class Encoder:
         for at in range(0, len(odd), 4096):
             for piece, got in zip(odd[at : at + 4096], self.many(self.tokenizer, [p.decode() for p in odd[at : at + 4096]]), strict=True):
                 out[piece] = got.tobytes()
-        words.update((w, ids) for w, ids in new.items() if len(w) <= LONG)
-        kept = {p: ids for p, ids in out.items() if len(p) <= LONG}
-        self.cache.update(kept)
-        self.word_bytes += sum(len(w) + len(ids) + ENTRY for w, ids in new.items() if len(w) <= LONG)
-        self.cache_bytes += sum(map(len, kept)) + sum(map(len, kept.values())) + ENTRY * len(kept)
+        self.word_bytes += self._keep(words, new)
+        self.cache_bytes += self._keep(self.cache, out)
         return out
 
+    def _keep(self, cache: dict, found: dict) -> int:
+        """Puts what isn't long into a cache; bytes that it takes at most, as each id stands for a byte or more."""
+        if max(map(len, found), default=0) > LONG:
+            found = {k: ids for k, ids in found.items() if len(k) <= LONG}
+        cache.update(found)
+        return (1 + self.width) * sum(map(len, found)) + ENTRY * len(found)
+
     def encode(self, texts: list) -> list[bytes]:
         """ids of each text (UTF-8 bytes or a string); null is empty."""
         out = []
