@@ -267,19 +267,34 @@ def evidence_batches(rows: DataFrame, budget: int, key: str = "doc_id") -> DataF
 LIKE_QUOTES = {"'": "\u2018\u2019\u201a\u201b\u2032", '"': "\u201c\u201d\u201e\u201f\u2033", "-": "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"}
 
 
+def _alike(text: Column) -> Column:
+    """A text with each run of white space as one blank, and quotation marks and dashes in their plain shape."""
+    plain = F.regexp_replace(text, r"(?U)\s+", " ")
+    return F.translate(plain, "".join(LIKE_QUOTES.values()), "".join(p * len(others) for p, others in LIKE_QUOTES.items()))
+
+
 def located(quote: Column, passage: Column) -> Column:
     """The piece of a passage that a quotation copies, as the passage has it, or null.
 
     An exact copy is itself. Else white space may differ in its kind and amount, and quotation marks and dashes in their
-    shape: the quotation becomes a pattern in which each of those stands for all of its like, and everything else for itself."""
-    trimmed = F.regexp_replace(quote, r"(?U)^\s+|\s+$", "")
-    pattern = F.regexp_replace(trimmed, r"([\\\[\](){}.*+?^$|#&~])", r"\\$1")
-    for plain, others in LIKE_QUOTES.items():
-        every = "-" * (plain == "-") + others + plain * (plain != "-")
-        pattern = F.regexp_replace(pattern, f"[{every}]", f"[{every}]")
-    pattern = F.concat(F.lit("(?U)"), F.regexp_replace(pattern, r"(?U)\s+", r"\\s+"))
-    found = F.regexp_substr(passage, pattern)
-    return F.when(trimmed == "", F.lit(None)).when(F.contains(passage, quote), quote).otherwise(found)
+    shape: both texts are compared in one form, in which only white space is shorter, so the lengths of the passage's runs
+    of white space carry a place back. (As a pattern, a quotation would nest as deep as it has words.)"""
+    sought = F.trim(_alike(quote))
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  use(value), computed once
+    blanks = lambda t: F.length(t) - F.length(F.replace(t, F.lit(" ")))
+    length = lambda runs, first, n: F.length(F.array_join(F.slice(runs, first, n), ""))
+
+    def piece(x):
+        """x: plain, sought, at (from 1), runs."""
+        before = F.substring(x["plain"], F.lit(1), x["at"] - 1)
+        own = lambda b, n: F.substring(passage, x["at"] - b + length(x["runs"], F.lit(1), b), F.length(x["sought"]) - n + length(x["runs"], b + 1, n))
+        return bound(F.struct(blanks(before).alias("b"), blanks(x["sought"]).alias("n")), lambda y: own(y["b"], y["n"]))
+
+    runs = F.regexp_extract_all(passage, F.lit(r"(?U)\s+"), F.lit(0))
+    both = F.struct(_alike(passage).alias("plain"), sought.alias("sought"))
+    placed = lambda x: bound(x.withField("at", F.instr(x["plain"], x["sought"])), lambda y: F.when(y["at"] > 0, bound(y.withField("runs", runs), piece)))
+    found = bound(both, placed)
+    return F.when(sought == "", F.lit(None)).when(F.contains(passage, quote), quote).otherwise(found)
 
 
 def restored(source: DataFrame, shortened: DataFrame, key: str = "doc_id") -> DataFrame:

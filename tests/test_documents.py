@@ -323,6 +323,35 @@ def test_quotations_are_located_as_the_passage_has_them(spark):
     assert {r.q: r.x for r in df.select("q", verify.located(F.col("q"), F.col("p")).alias("x")).collect()} == cases
 
 
+def test_long_quotations_are_located(spark):
+    words = [f"word\u2019s{i}{' ' if i % 3 else chr(10) * 2 + chr(160)}" for i in range(60_000)]
+    passage, quote = "".join(words), " ".join(f"word's{i}" for i in range(20_000, 50_000))
+    df = spark.createDataFrame([(quote, passage), (quote + "x", passage), (f"\t{quote}\n", passage), (None, passage), (quote, None)], "q string, p string")
+    got = [r.x for r in df.select(verify.located(F.col("q"), F.col("p")).alias("x")).collect()]
+    piece = "".join(words[20_000:50_000]).rstrip()
+    assert got == [piece, None, piece, None, None]
+
+
+def test_places_of_quotations_against_patterns(spark):
+    import random
+    import re
+
+    rng, like = random.Random(4), ["'\u2018\u2019", '"\u201c\u201d', "-\u2013\u2014"]
+    rows = [("".join(rng.choices("ab ' \u2019\u2014-\n\u00a0\U0001f600.\"\u201d", k=rng.randint(0, 6))), "".join(rng.choices("ab ' \u2019\u2014-\n\u00a0\U0001f600.\"\u201d", k=rng.randint(0, 60)))) for _ in range(1500)]
+
+    def want(q, p):
+        if not q.strip():
+            return None
+        if q in p:
+            return q
+        found = re.search("".join(r"\s+" if c.isspace() else next((f"[{x}]" for x in like if c in x), re.escape(c)) for c in re.sub(r"\s+", " ", q.strip())), p)
+        return found and found.group()
+
+    df = spark.createDataFrame([(i, q, p) for i, (q, p) in enumerate(rows)], "i int, q string, p string")
+    got = {r.i: r.x for r in df.select("i", verify.located(F.col("q"), F.col("p")).alias("x")).collect()}
+    assert got == {i: want(q, p) for i, (q, p) in enumerate(rows)} and sum(x is not None for x in got.values()) > 200
+
+
 def test_items_are_asked_for_three_times_at_most():
     asked = []
 
