@@ -10,7 +10,7 @@ the rounds run backwards.
 Values are found in two passes, so that none is hidden by a number around it that isn't valid. Formats that a pattern can
 validate wholly (e-mail, phone, IP, SSN, date) are matched first. In what lies between, every run of digit groups (or
 letters and digits, for IBANs) that begin and end at a group's border is validated; of valid runs that overlap the longest
-counts, of equally long ones the first, in three rounds.
+counts, of equally long ones the first, until what is left holds no valid run, however many stand side by side.
 
 A date's pseudonym stays in its century and on the same side of the 12th of the month: a slashed date whose day and
 month could be exchanged is read with the day first, and its pseudonym is such a date too, so that all dates of a century
@@ -54,9 +54,10 @@ PATTERNS = {
     "date": rf"(?<![0-9./-])(?:{_calendar('-', 'ymd')}|{_calendar(chr(92) + '.', 'dmy')}|{_calendar('/', 'dmy')}|{_calendar('/', 'mdy')})(?![0-9/-]|\.[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What may hold a card number or an IBAN, which a pattern can't validate, and the most groups and characters of one.
+#: What may hold a card number or an IBAN, which a pattern can't validate, and the most groups (a card's 19 digits, each
+#: apart; an IBAN has 9) and characters of one. These are the formats' own bounds: no number in a format is beyond them.
 POSSIBLE = r"[0-9](?:[ -]?[0-9]){12}|(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}"
-GROUPS, LEAST_CARD, MOST_CARD, LEAST_IBAN, MOST_IBAN, PASSES = 19, 13, 19, 12, 35, 3
+GROUPS, LEAST_CARD, MOST_CARD, LEAST_IBAN, MOST_IBAN = 19, 13, 19, 12, 35
 IBAN = r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"
 
 
@@ -193,62 +194,56 @@ def _date(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _grouped(text: Column, key: str, inverse: bool) -> Column:
-    """struct<text, cards, ibans> of a text without matches of ANY: its card numbers and IBANs are replaced.
-
-    The text is a list of tokens, groups and what stands between. From each token on the longest valid run is taken; a run
-    that overlaps a longer one, or an equally long one before it, gives way, and the next pass looks at it again."""
-    one = F.struct(F.array(F.struct(text.alias("t"), F.lit("").alias("kind"))).alias("parts"))
-
-    def settled(parts):
-        return F.flatten(F.transform(parts, lambda p: F.when((p["kind"] == "") & p["t"].rlike(POSSIBLE), _cut(p["t"])).otherwise(F.array(p))))
-
-    parts = F.aggregate(F.sequence(F.lit(1), F.lit(PASSES)), one, lambda s, _: F.struct(settled(s["parts"]).alias("parts")), lambda s: s["parts"])
+    """struct<text, cards, ibans> of a text without matches of ANY: its card numbers and IBANs are replaced."""
 
     def fresh(p):
         return F.when(p["kind"] == "", p["t"]).otherwise(pseudonym(p["kind"], p["t"], key, inverse, ("card", "iban")))
 
     number = lambda kind: lambda parts: F.size(F.filter(parts, lambda p: p["kind"] == kind))
-    done = F.transform(F.array(parts), lambda x: F.struct(F.array_join(F.transform(x, fresh), "").alias("text"), number("card")(x).alias("cards"), number("iban")(x).alias("ibans")))
-    return F.element_at(done, 1)
+    return _bound(_cut(text), lambda x: F.struct(F.array_join(F.transform(x, fresh), "").alias("text"), number("card")(x).alias("cards"), number("iban")(x).alias("ibans")))
 
 
 def _cut(text: Column) -> Column:
-    """array<struct<t, kind>>: the valid runs of a text and what lies between."""
-    tokens = F.regexp_extract_all(text, F.lit("[0-9A-Za-z]+|[^0-9A-Za-z]+"), F.lit(0))
-    state = F.transform(F.array(tokens), lambda t: F.struct(t.alias("t"), F.transform(t, lambda x, i: _longest(t, x, i)).alias("run")))
-
-    def starts(run):
-        """Tokens whose runs overlap none that is longer, or as long and earlier."""
+    """array<struct<t, kind>>: the valid runs of a text that count and what lies between, in which no run is valid.
 
-        def loses(i, own):
-            near = F.sequence(F.greatest(i - 2 * GROUPS, F.lit(0)), F.least(i + own["n"] - 1, F.size(run) - 1))
-
-            def better(k, other):
-                return (other["n"] > 0) & (k != i) & (k + other["n"] > i) & ((other["size"] > own["size"]) | ((other["size"] == own["size"]) & (k < i)))
+    The text is a list of tokens, groups and what stands between. All valid runs are found once. They are taken by their
+    size, from the longest down, and from left to right within a size, if no token of theirs is taken: each size is one
+    pass over the tokens, and there are no more sizes than a card number or an IBAN can have."""
+    tokens = F.regexp_extract_all(text, F.lit("[0-9A-Za-z]+|[^0-9A-Za-z]+"), F.lit(0))
+    state = _bound(tokens, lambda t: F.struct(t.alias("t"), F.flatten(F.transform(t, lambda x, i: _runs(t, x, i))).alias("runs")))
+    none = F.array().cast("array<struct<i:int,n:int,size:int,kind:string>>")
+
+    def spans(count, taken):
+        """(from, number of tokens, kind) of the runs, and of what lies before each and after the last."""
+        lo, hi = F.concat(F.array(F.lit(0)), F.transform(taken, lambda r: r["i"] + r["n"])), F.concat(F.transform(taken, lambda r: r["i"]), F.array(count))
+        gaps = F.zip_with(lo, hi, lambda lo, hi: F.struct(lo.alias("i"), (hi - lo).alias("n"), F.lit("").alias("kind")))
+        runs = F.transform(taken, lambda r: F.struct(r["i"].alias("i"), r["n"].alias("n"), r["kind"].alias("kind")))
+        both = F.flatten(F.zip_with(gaps, runs, lambda g, r: F.when(r.isNull(), F.array(g)).otherwise(F.array(g, r))))
+        return F.filter(both, lambda x: x["n"] > 0)
 
-            return F.exists(near, lambda k: better(k, F.element_at(run, k + 1)))
+    def counting(count, runs):
+        """The runs that count, in their order."""
 
-        def wins(i):
-            return (F.element_at(run, i + 1)["n"] > 0) & ~loses(i, F.element_at(run, i + 1))
+        def of_size(s, size):
+            free = F.filter(runs, lambda r: (r["size"] == size) & ~F.exists(F.slice(s["held"], r["i"] + 1, r["n"]), lambda h: h))
+            start = F.struct(F.lit(0).alias("end"), none.alias("taken"))
+            step = lambda p, r: F.when(r["i"] < p["end"], p).otherwise(F.struct((r["i"] + r["n"]).alias("end"), F.concat(p["taken"], F.array(r)).alias("taken")))
+            taken = F.array_sort(F.concat(s["taken"], F.aggregate(free, start, step, lambda p: p["taken"])))
+            held = lambda taken: F.flatten(F.transform(spans(count, taken), lambda x: F.array_repeat(x["kind"] != "", x["n"])))
+            return _bound(taken, lambda x: F.struct(x.alias("taken"), held(x).alias("held")))
 
-        return F.filter(F.sequence(F.lit(0), F.size(run) - 1), wins)
+        sizes = F.sort_array(F.array_distinct(F.transform(runs, lambda r: r["size"])), asc=False)
+        return F.aggregate(sizes, F.struct(none.alias("taken"), F.array_repeat(F.lit(False), count).alias("held")), of_size, lambda s: s["taken"])
 
     def pieces(s):
-        t, run, begin = s["t"], s["run"], s["begin"]
-        # (from, number of tokens, kind) of the runs, and of what lies before each and after the last
-        after = F.transform(begin, lambda i: i + F.element_at(run, i + 1)["n"])
-        runs = F.transform(begin, lambda i: F.struct(i.alias("i"), F.element_at(run, i + 1)["n"].alias("n"), F.element_at(run, i + 1)["kind"].alias("kind")))
-        gaps = F.zip_with(F.concat(F.array(F.lit(0)), after), F.concat(begin, F.array(F.size(run))), lambda lo, hi: F.struct(lo.alias("i"), (hi - lo).alias("n"), F.lit("").alias("kind")))
-        both = F.flatten(F.zip_with(gaps, runs, lambda g, r: F.when(r.isNull(), F.array(g)).otherwise(F.array(g, r))))
-        return F.transform(F.filter(both, lambda x: x["n"] > 0), lambda x: F.struct(F.array_join(F.slice(t, x["i"] + 1, x["n"]), "").alias("t"), x["kind"].alias("kind")))
+        every = spans(F.size(s["t"]), counting(F.size(s["t"]), s["runs"]))
+        return F.transform(every, lambda x: F.struct(F.array_join(F.slice(s["t"], x["i"] + 1, x["n"]), "").alias("t"), x["kind"].alias("kind")))
 
-    state = F.transform(state, lambda s: F.struct(s["t"].alias("t"), s["run"].alias("run"), starts(s["run"]).alias("begin")))
-    return F.element_at(F.transform(state, pieces), 1)
+    return _bound(state, pieces)
 
 
-def _longest(tokens: Column, token: Column, i: Column) -> Column:
-    """struct<n, size, kind>: tokens and characters of the longest valid run from token i; n is 0 where there is none."""
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("size"), F.lit("").alias("kind"))
+def _runs(tokens: Column, token: Column, i: Column) -> Column:
+    """array<struct<i, n, size, kind>>: the valid runs from token i, with their numbers of tokens and characters."""
 
     def candidates(least, most, joined, kind, valid):
         groups = F.sequence(F.lit(GROUPS), F.lit(1), F.lit(-1))
@@ -257,11 +252,11 @@ def _longest(tokens: Column, token: Column, i: Column) -> Column:
         found = F.transform(right, lambda g: F.struct((2 * g - 1).alias("n"), F.array_join(run(g), "").alias("m")))
         fits = F.filter(found, lambda c: F.length(F.regexp_replace(c["m"], "[ -]", "")).between(least, most) & c["m"].rlike(joined))
         good = F.filter(fits, lambda c: valid(c["m"]))
-        return F.transform(F.slice(good, 1, 1), lambda c: F.struct(c["n"].alias("n"), F.length(c["m"]).alias("size"), F.lit(kind).alias("kind")))
+        return F.transform(good, lambda c: F.struct(i.alias("i"), c["n"].alias("n"), F.length(c["m"]).alias("size"), F.lit(kind).alias("kind")))
 
     iban = F.when(token.rlike("^[A-Z]{2}[0-9]{2}"), candidates(LEAST_IBAN, MOST_IBAN, IBAN, "iban", lambda m: _mod97(_turned(m)) == 1))
     card = F.when(token.rlike("^[0-9]+$"), candidates(LEAST_CARD, MOST_CARD, "^[0-9]+(?:[ -][0-9]+)*$", "card", _card))
-    return F.coalesce(F.try_element_at(iban, F.lit(1)), F.try_element_at(card, F.lit(1)), none)
+    return F.coalesce(iban, card, F.array().cast("array<struct<i:int,n:int,size:int,kind:string>>"))
 
 
 def _turned(m: Column) -> Column:

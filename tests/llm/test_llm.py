@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -97,6 +98,46 @@ def test_values_within_numbers_that_are_not_valid_are_found(spark):
     assert got[0].text[:5] == "id 7 " and got[0].text[-5:] == " 2021" and got[0].n_pii == 1
 
 
+def test_numbers_side_by_side_are_all_replaced(spark):
+    card = "4111 1111 1111 1111"
+    rows = [(1, f"{card} " * 40), (2, "0 " * 200), (3, "0000-" * 80), (4, "GB82 WEST 1234 5698 7654 32 " * 12), (5, ("0" * 16 + " ") * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = pseudonyms.pseudonymized(df, "k")
+    got = {r.doc_id: r for r in new.collect()}
+    assert (got[1].n_card, got[2].n_card, got[3].n_card, got[4].n_iban, got[5].n_card) == (40, 10, 20, 12, 9)
+    assert card not in got[1].text and "0000" not in got[3].text and "WEST 1234" not in got[4].text and "0" * 16 not in got[5].text and got[2].text[-20:] == "0 " * 10
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymized(new.select("doc_id", "text"), "k", inverse=True).collect()} == dict(rows)
+
+
+def test_overlapping_numbers_against_all_runs(spark):
+    import re
+
+    rng = random.Random(5)
+    some = ["0", "00", "0000", "18", "4111", "1111", "4111111111111111", "1", "x", "AB12", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]
+    texts = ["".join(rng.choice(some[: rng.choice((4, 6, 8, 13))]) + rng.choice("     --,") for _ in range(rng.randint(5, 90))) for _ in range(150)]
+
+    def kind(m):
+        plain = re.sub("[ -]", "", m)
+        if re.fullmatch("[0-9]+(?:[ -][0-9]+)*", m):
+            return "card" if 13 <= len(plain) <= 19 and luhn(plain) else ""
+        if not re.fullmatch("[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", m):
+            return ""
+        return "iban" if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else ""
+
+    def want(text):
+        t = re.findall("[0-9A-Za-z]+|[^0-9A-Za-z]+", text)
+        runs = sorted((-len(m), a, b, kind(m)) for a in range(len(t)) for b in range(a + 1, min(a + 38, len(t) + 1)) if kind(m := "".join(t[a:b])))
+        held = [""] * len(t)  # the longest first, then the leftmost, if it is free
+        for _, a, b, k in runs:
+            if not any(held[a:b]):
+                held[a:b] = [f"{k} {a}"] * (b - a)
+        return [("".join(t[i] for i in own), h.split(" ")[0]) for h, own in ((h, list(own)) for h, own in itertools.groupby(range(len(t)), held.__getitem__))]
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: [tuple(x) for x in r.x] for r in df.select("i", pseudonyms._cut(F.col("text")).alias("x")).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)} and max(sum(k != "" for _, k in x) for x in got.values()) > 6
+
+
 def test_each_way_of_writing_a_date_is_permuted_one_to_one(spark):
     import datetime
 
